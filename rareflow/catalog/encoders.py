@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import encoders, woe
 from ..operators.features import FeatureEngineer
 from ..operators.lookup import attach
+from ..operators.ordered import cut_index
 from ..operators.splits import assign_folds, holdout_split, part
 from ..schema import LABEL, ROW_ID
 from .base import FEATURES, HOLDOUT_SQL, counts, query, r6, rounded, with_sql
@@ -252,7 +253,7 @@ def map_with_default(spark, sf_dir):
 )
 def bin_audit(spark, sf_dir):
     cuts = FIXED_CUTS["num_words"]
-    df = counts(spark, sf_dir).select("num_words", woe.bin_index("num_words", cuts).alias("bin"))
+    df = counts(spark, sf_dir).select("num_words", cut_index("num_words", cuts).alias("bin"))
     return df.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.min("num_words").alias("low"), F.max("num_words").alias("high")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..schema import LABEL
 from ..session import stage_table
 from .lookup import attach
-from .ordered import exact_quantiles, long_form
+from .ordered import cut_index, exact_quantiles, long_form
 
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
@@ -52,13 +52,7 @@ class FittedBinner:
 
     def bin_of(self, column: str) -> Column:
         """Number of inner edges at or below the value, so outer values take the end bins."""
-        inner = self.edges[column][1:-1]
-        if not inner:
-            return F.when(F.col(column).isNotNull(), F.lit(0))
-        total = F.lit(0)
-        for e in inner:
-            total = total + (F.col(column) >= F.lit(e)).cast("int")
-        return total
+        return cut_index(column, self.edges[column][1:-1])
 
     def transform(self, df: DataFrame) -> DataFrame:
         bins = [self.bin_of(c).cast("int").alias(f"{c}_bin") for c in self.edges]
@@ -156,6 +150,8 @@ class FittedTargetEncoder:
 
     def _encode(self, df: DataFrame, table: DataFrame, extra: list[str]) -> DataFrame:
         out = df
+        # Written once, one folder per feature: every column then reads only its own part.
+        table = stage_table(table, "target-map", partition_by="feature")
         rows = table.groupBy("feature").agg(F.count(F.lit(1)).alias("size")).collect()
         sizes = {r["feature"]: r["size"] for r in rows}
         for c in self.columns:

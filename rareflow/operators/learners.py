@@ -297,6 +297,7 @@ def fit_logistic(train, columns, label, params, seed) -> Scorer:
         elasticNetParam=0.0,
         standardization=False,
         maxIter=int(params.get("max_iter", 1000)),
+        tol=1e-4,
     ).fit(rows)
     return MLScorer(columns, model)
 

@@ -9,7 +9,7 @@ result is exact: cut points only decide how the work is spread.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
@@ -208,3 +208,14 @@ def _with_probes(spans: DataFrame, probabilities: list[float]) -> DataFrame:
     return spans.select("*", F.explode(F.sequence(start, stop)).alias("i")).withColumn(
         "p", F.col("i") / F.lit(float(last))
     )
+
+
+def cut_index(column: str, cuts: list[float]) -> Column:
+    """Number of cuts at or below the value (0 to len(cuts)); null stays null.
+
+    Parsed from text: for many columns and cuts, building the same expression call
+    by call takes longer than running it.
+    """
+    if not cuts:
+        return F.when(F.col(column).isNotNull(), F.lit(0))
+    return F.expr(" + ".join(f"CAST(`{column}` >= {float(c)!r}D AS INT)" for c in cuts))

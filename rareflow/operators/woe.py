@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..schema import LABEL
 from .metrics import ratio
-from .ordered import exact_quantiles, long_form
+from .ordered import cut_index, exact_quantiles, long_form
 
 
 def prebin_cuts(df: DataFrame, columns: list[str], prebins: int = 20) -> dict[str, list[float]]:
@@ -28,21 +28,11 @@ def prebin_cuts(df: DataFrame, columns: list[str], prebins: int = 20) -> dict[st
     }
 
 
-def bin_index(column: str, cuts: list[float]) -> Column:
-    """Number of cuts at or below the value; null stays null."""
-    if not cuts:
-        return F.when(F.col(column).isNotNull(), F.lit(0))
-    total = F.lit(0)
-    for c in cuts:
-        total = total + (F.col(column) >= F.lit(float(c))).cast("int")
-    return total
-
-
 def bin_counts(
     df: DataFrame, cuts: dict[str, list[float]], label: str = LABEL
 ) -> DataFrame:
     """(feature, bin, n, events) for all features in one scan and one shuffle of counts."""
-    bins = df.select(F.col(label).alias("_y"), *[bin_index(c, k).alias(c) for c, k in cuts.items()])
+    bins = df.select(F.col(label).alias("_y"), *[cut_index(c, k).alias(c) for c, k in cuts.items()])
     return (
         long_form(bins, list(cuts), carry=["_y"], cast="int")
         .withColumnRenamed("value", "bin")
@@ -198,11 +188,11 @@ class FittedWOE:
     def woe(self, column: str) -> Column:
         """WOE of the row's bin as CASE branches; missing values get 0."""
         weights = self.values[column]
-        value = F.col(column)
-        branch = F.when(value.isNull(), F.lit(0.0))
+        branches = [f"WHEN `{column}` IS NULL THEN 0D"]
         for cut, w in zip(self.cuts[column], weights):
-            branch = branch.when(value < F.lit(float(cut)), F.lit(w))
-        return branch.otherwise(F.lit(weights[-1] if weights else 0.0))
+            branches.append(f"WHEN `{column}` < {float(cut)!r}D THEN {float(w)!r}D")
+        last = float(weights[-1]) if weights else 0.0
+        return F.expr(f"CASE {' '.join(branches)} ELSE {last!r}D END")
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = [self.woe(c).alias(f"{c}_woe") for c in self.cuts]

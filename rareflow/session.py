@@ -48,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage_table(
+    df: DataFrame, label: str = "stage", partition_by: str | None = None
+) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts lineage between rounds of iterative work, and survives lost executors
@@ -56,5 +58,9 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rareflow-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if partition_by is not None:
+        # One writer per partition value, so folders hold few files.
+        writer = df.repartition(partition_by).write.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
