@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COUNT_COLUMNS
+from ..session import stage_table
 from ..sources.star import counts_from_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,11 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_from_orders(spark, sf_dir)
 
 
+def staged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count table written once, for queries that read it in several passes."""
+    return stage_table(counts_from_orders(spark, sf_dir), "counts")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double after all arithmetic; adding 0 turns -0 into 0."""
     return df.select(

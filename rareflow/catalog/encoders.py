@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import encoders, woe
-from ..operators.features import FeatureEngineer
 from ..operators.lookup import attach
 from ..operators.ordered import cut_index
 from ..operators.splits import assign_folds, holdout_split, part
 from ..schema import LABEL, ROW_ID
-from .base import FEATURES, HOLDOUT_SQL, counts, query, r6, rounded, with_sql
+from .base import (
+    FEATURES,
+    HOLDOUT_SQL,
+    counts,
+    query,
+    r6,
+    rounded,
+    staged_counts,
+    with_sql,
+)
 
 TRAIN = "(SELECT * FROM parts WHERE split = 'train')"
 
 
 def _all_and_train(spark, sf_dir):
-    df = counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL)
+    df = staged_counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL)
     return df, part(holdout_split(df), "train")
 
 
@@ -62,7 +70,7 @@ _PREBIN_SQL = (
 
 
 @query("e02_prebin_counts", with_sql("SELECT * FROM prebins", _PREBIN_SQL))
-def prebin_counts(spark, sf_dir):
+def prebin_staged_counts(spark, sf_dir):
     _, train = _all_and_train(spark, sf_dir)
     return woe.bin_counts(train, woe.prebin_cuts(train, FEATURES))
 
@@ -215,7 +223,7 @@ def out_of_fold(spark, sf_dir):
     ),
 )
 def target_apply(spark, sf_dir):
-    df = counts(spark, sf_dir).select(ROW_ID, LABEL, *TE)
+    df = staged_counts(spark, sf_dir).select(ROW_ID, LABEL, *TE)
     parts = holdout_split(df)
     fitted = encoders.CrossFitTargetEncoder().fit(part(parts, "train"), TE)
     held_out = parts.filter(F.col("split") != "train").drop("split")
@@ -272,7 +280,7 @@ def bin_audit(spark, sf_dir):
     ),
 )
 def smoothable(spark, sf_dir):
-    df = counts(spark, sf_dir).select(*FEATURES, LABEL, (F.col("num_links") > 0).cast("int").alias("has_links"))
+    df = staged_counts(spark, sf_dir).select(*FEATURES, LABEL, (F.col("num_links") > 0).cast("int").alias("has_links"))
     chosen = encoders.smoothable_columns(df)
     # The chosen names, attached to the table's column list.
     names = F.array(*[F.lit(c) for c in df.columns])
@@ -398,7 +406,7 @@ def periodic(spark, sf_dir):
     ),
 )
 def learned_scalars(spark, sf_dir):
-    df = counts(spark, sf_dir).select(ROW_ID, LABEL, "num_words", "p_a")
+    df = staged_counts(spark, sf_dir).select(ROW_ID, LABEL, "num_words", "p_a")
     train = part(holdout_split(df), "train")
     words, score = train.agg(F.avg("num_words"), F.avg("p_a")).first()
     return rounded(
@@ -408,12 +416,3 @@ def learned_scalars(spark, sf_dir):
             (F.col("p_a") - F.lit(score)).alias("centred_score"),
         )
     )
-
-
-@query("e16_engineered_then_binned")
-def engineered_binned(spark, sf_dir):
-    df, train = _all_and_train(spark, sf_dir)
-    engineer = FeatureEngineer().fit(train)
-    names = [c for c in engineer.output_columns(train.columns) if c not in (ROW_ID, LABEL)]
-    binner = encoders.QuantileBinner().fit(engineer.transform(train), names)
-    return binner.transform(engineer.transform(df))

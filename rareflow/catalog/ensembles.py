@@ -10,12 +10,14 @@ from ..functions.scores import sigmoid, weighted_mean
 from ..operators import blend, calibration, metrics, thresholds
 from ..operators.features import FeatureEngineer
 from ..operators.frames import append_columns, scores_long, scores_side_by_side
+from ..operators.ordered import range_cuts
 from ..operators.splits import assign_folds, holdout_split, part
 from ..plans import reports
 from ..plans.bundles import BlendBundle, predict
 from ..plans.experiment import ExperimentConfig, _evaluate
 from ..plans.search import candidate_means
 from ..schema import LABEL, ROW_ID
+from ..session import stage_table
 from .base import (
     AP_SQL,
     AUC_SQL,
@@ -29,6 +31,7 @@ from .base import (
     query,
     r6,
     rounded,
+    staged_counts,
     with_sql,
 )
 from .metrics import validation
@@ -134,7 +137,7 @@ wap AS (SELECT weight_id, sum(CAST(pos AS DOUBLE) / n_pos * (CAST(tp AS DOUBLE)
 )
 def weight_grid(spark, sf_dir):
     vectors = dict(enumerate(blend.weight_vectors(2)))
-    rows = blend.blended(blend.score_tuples(counts(spark, sf_dir), PAIR), PAIR, vectors)
+    rows = blend.blended(blend.score_tuples(staged_counts(spark, sf_dir), PAIR), PAIR, vectors)
     return rounded(
         rows.groupBy("weight_id").agg(
             F.sum("n").alias("n_rows"), F.sum(F.col("score") * F.col("n")).alias("total")
@@ -159,7 +162,7 @@ TRIPLE = [*PAIR, "p_c"]
 
 
 def _validation3(spark, sf_dir):
-    df = counts(spark, sf_dir)
+    df = staged_counts(spark, sf_dir)
     third = FixedLinear("c", -3.0, {"num_spelling_errors": 0.6, "num_email_addresses": 0.4})
     scored = third.with_score(df, "p_c").select(ROW_ID, LABEL, *TRIPLE)
     return part(holdout_split(scored), "val")
@@ -245,7 +248,7 @@ btest AS (SELECT label_1, p_a * b0 + p_b * b1 AS score FROM parts, best WHERE sp
     ),
 )
 def blend_build(spark, sf_dir):
-    df = holdout_split(counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
+    df = holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
     best = blend.optimize_weights(part(df, "val"), PAIR)
     scored = blend.with_blend(df.filter(F.col("split") != "train"), PAIR, best.weights, "p")
     threshold, _, _, _ = _evaluate(scored, ExperimentConfig())
@@ -274,11 +277,15 @@ _SEGMENTS = " UNION ALL ".join(
 )
 def flagship(spark, sf_dir):
     """Counts, engineered features, curve, best-F1 threshold, metrics per message length."""
-    df = counts(spark, sf_dir)
+    df = staged_counts(spark, sf_dir)
     engineered = FeatureEngineer().fit(part(holdout_split(df), "train")).transform(df)
-    curve = metrics.score_curve(engineered, "p_a", keys=["short_email"])
-    overall = metrics.score_curve(engineered, "p_a")
+    # Score counts per segment are the only thing both curves need.
+    by_segment = stage_table(metrics.score_counts(engineered, "p_a", keys=["short_email"]))
+    cuts = range_cuts(by_segment, "score")
+    totals = by_segment.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    overall = metrics.curve_of_counts(totals, cuts=cuts)
     threshold = thresholds.for_max_f1(metrics.pr_grid(overall)).first()["threshold"]
+    curve = metrics.curve_of_counts(by_segment, ["short_email"], cuts)
     return rounded(metrics.metric_record(curve, threshold, keys=["short_email"]))
 
 
@@ -287,21 +294,21 @@ def flagship(spark, sf_dir):
 
 @query("t07_sigmoid_calibration")
 def sigmoid_calibration(spark, sf_dir):
-    df = holdout_split(counts(spark, sf_dir).select(ROW_ID, LABEL, "p_a"))
+    df = holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL, "p_a"))
     fitted = calibration.fit_calibration(part(df, "val"), "p_a", "sigmoid")
     return rounded(fitted.apply(part(df, "test"), "p_a", "p"))
 
 
 @query("t08_isotonic_calibration")
 def isotonic_calibration(spark, sf_dir):
-    df = holdout_split(counts(spark, sf_dir).select(ROW_ID, LABEL, "p_a"))
+    df = holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL, "p_a"))
     fitted = calibration.fit_calibration(part(df, "val"), "p_a", "isotonic")
     return rounded(fitted.apply(part(df, "test"), "p_a", "p"))
 
 
 @query("t11_stacking")
 def stacking(spark, sf_dir):
-    df = holdout_split(counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
+    df = holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
     stacker = calibration.fit_stacker(part(df, "val"), ["a", "b"], PAIR)
     return rounded(stacker.apply(part(df, "test"), PAIR, "p"))
 
@@ -324,7 +331,7 @@ fold_ap AS (SELECT model, fold, sum(CAST(pos AS DOUBLE) / n_pos * (CAST(tp AS DO
 
 def _fold_scores(spark, sf_dir):
     """(model, fold, ap) of three given scores: all folds and models in one curve."""
-    df = assign_folds(counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
+    df = assign_folds(staged_counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
     df = blend.with_blend(df, PAIR, out="p_mix")
     long = scores_long(df, _MODELS, ["fold", LABEL])
     curve = metrics.score_curve(long, "p", keys=["model", "fold"])
@@ -364,7 +371,7 @@ _RECORD_ROWS = " UNION ALL ".join(
 
 
 def _model_records(spark, sf_dir, models=None):
-    df = holdout_split(counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
+    df = holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL, *PAIR))
     held_out = blend.with_blend(df.filter(F.col("split") != "train"), PAIR, out="p_mix")
     long = scores_long(held_out, models or _MODELS, ["split", LABEL])
     curve = metrics.score_curve(long, "p", keys=["model", "split"])

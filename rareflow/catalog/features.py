@@ -10,7 +10,16 @@ from ..schema import LABEL, ROW_ID
 from ..sources.star import counts_from_documents
 from ..sources.tables import features_and_label, load_counts, load_folder
 from ..sources.validation import with_reason
-from .base import FEATURES, HOLDOUT_SQL, counts, query, r6, rounded, with_sql
+from .base import (
+    FEATURES,
+    HOLDOUT_SQL,
+    counts,
+    query,
+    r6,
+    rounded,
+    staged_counts,
+    with_sql,
+)
 
 PLAIN = ", ".join(FEATURES)
 
@@ -231,7 +240,7 @@ def graded(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir, **settings):
-    df = counts(spark, sf_dir).drop("p_a", "p_b")
+    df = staged_counts(spark, sf_dir).drop("p_a", "p_b")
     parts = holdout_split(df)
     return df, feats.FeatureEngineer(**settings).fit(part(parts, "train"))
 

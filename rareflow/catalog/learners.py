@@ -25,11 +25,20 @@ from ..plans.search import candidate_means, cross_validate, random_candidates, s
 from ..plans.versions import list_versions, load_version
 from ..schema import LABEL, ROW_ID
 from ..session import shared_dir, stage_table
-from .base import FEATURES, counts, query, r6, rounded, with_sql
+from .base import (
+    ORACLE,
+    FEATURES,
+    counts,
+    query,
+    r6,
+    rounded,
+    staged_counts,
+    with_sql,
+)
 
 
 def _split_table(spark, sf_dir):
-    df = counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL)
+    df = staged_counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL)
     return stage_table(holdout_split(df), "query-split")
 
 
@@ -114,20 +123,25 @@ def prefix_projection(spark, sf_dir):
     return latent.prefixed(counts(spark, sf_dir), "num_", [ROW_ID])
 
 
-@query("e16_feature_modes")
-def feature_modes(spark, sf_dir):
-    """Every mode's fitted width and its rows over the whole table."""
-    data = _split_table(spark, sf_dir)
-    train = part(data, "train")
-    table = None
-    for mode in FEATURE_MODES:
-        recipe = FeatureRecipe(mode, {"max_iter": 5}).fit(train, FEATURES)
-        rows = recipe.transform(data).select(*recipe.columns)
-        row = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(mode).alias("mode"), F.lit(len(recipe.columns)).alias("n_columns"), "n_rows"
-        )
-        table = row if table is None else table.unionByName(row)
-    return table
+_MODE_SQL = {
+    "raw": with_sql(f"SELECT row_id, {', '.join(FEATURES)}, label_1 FROM counts"),
+    "quantile": ORACLE["e01_quantile_bins"],
+    "engineered": ORACLE["f10_catalogue"],
+    "ix_raw": ORACLE["f12_interactions"],
+}
+
+
+def _register_mode(mode: str) -> None:
+    @query(f"e16_{mode}", _MODE_SQL.get(mode))
+    def run(spark, sf_dir):
+        data = _split_table(spark, sf_dir)
+        recipe = FeatureRecipe(mode, {"max_iter": 10} if mode.endswith("nnembed") else {})
+        fitted = recipe.fit(part(data, "train"), FEATURES)
+        return rounded(fitted.transform(data.drop("split")))
+
+
+for _mode in FEATURE_MODES:
+    _register_mode(_mode)
 
 
 @query("a14_forest_importance")
@@ -167,7 +181,7 @@ _SIG = f"1e0 / (1e0 + exp(-{_MARGIN}))"
 )
 def score_maps(spark, sf_dir):
     margin = F.col("num_links").cast("double") + F.col("num_urgent_keywords") - 3.0
-    df = counts(spark, sf_dir).select(ROW_ID, LABEL, margin.alias("m"))
+    df = staged_counts(spark, sf_dir).select(ROW_ID, LABEL, margin.alias("m"))
     rate = df.agg(F.avg(LABEL)).first()[0]
     scaled = scores.with_rescaled(df, "m", "rescaled")
     return rounded(

@@ -25,6 +25,7 @@ from .base import (
     query,
     r6,
     rounded,
+    staged_counts,
     with_sql,
 )
 
@@ -50,7 +51,7 @@ _STAT_SQL = " UNION ALL ".join(
 
 @query("a03_feature_statistics", with_sql(_STAT_SQL))
 def statistics(spark, sf_dir):
-    return rounded(explore.feature_statistics(counts(spark, sf_dir), FEATURES))
+    return rounded(explore.feature_statistics(staged_counts(spark, sf_dir), FEATURES))
 
 
 @query(
@@ -99,13 +100,13 @@ def mcc(spark, sf_dir):
     "a09_average_precision", with_sql(f"SELECT {r6(AP_SQL, 'pr_auc')} FROM grid", grid_ctes("p_a"))
 )
 def average_precision(spark, sf_dir):
-    curve = metrics.score_curve(counts(spark, sf_dir), "p_a")
+    curve = metrics.score_curve(staged_counts(spark, sf_dir), "p_a")
     return rounded(curve.agg(metrics.average_precision().alias("pr_auc")))
 
 
 @query("a10_roc_auc", with_sql(f"SELECT {r6(AUC_SQL, 'roc_auc')} FROM grid", grid_ctes("p_a")))
 def roc_auc(spark, sf_dir):
-    curve = metrics.score_curve(counts(spark, sf_dir), "p_a")
+    curve = metrics.score_curve(staged_counts(spark, sf_dir), "p_a")
     return rounded(curve.agg(metrics.roc_auc().alias("roc_auc")))
 
 
@@ -121,7 +122,7 @@ def roc_auc(spark, sf_dir):
     ),
 )
 def record(spark, sf_dir):
-    return rounded(metrics.metric_record(metrics.score_curve(counts(spark, sf_dir), "p_a"), CUT))
+    return rounded(metrics.metric_record(metrics.score_curve(staged_counts(spark, sf_dir), "p_a"), CUT))
 
 
 @query(
@@ -133,7 +134,7 @@ def record(spark, sf_dir):
     ),
 )
 def imbalance_weight(spark, sf_dir):
-    df = metrics.with_imbalance_weight(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    df = metrics.with_imbalance_weight(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
     return rounded(df.drop(LABEL))
 
 
@@ -146,7 +147,7 @@ def imbalance_weight(spark, sf_dir):
     ),
 )
 def balanced_weight(spark, sf_dir):
-    df = metrics.with_balanced_weight(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    df = metrics.with_balanced_weight(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
     return rounded(df.drop(LABEL))
 
 
@@ -171,7 +172,7 @@ _MI_BODY = f"SELECT feature, {_MI_VALUE} FROM marg GROUP BY 1"
 
 @query("a13_mutual_information", with_sql(_MI_BODY, "," + mi_sql(_MI_CELLS)))
 def mutual_information(spark, sf_dir):
-    return rounded(explore.mutual_information(counts(spark, sf_dir), FEATURES))
+    return rounded(explore.mutual_information(staged_counts(spark, sf_dir), FEATURES))
 
 
 _W = "greatest(num_words + 1e0, 1e0)"
@@ -199,7 +200,7 @@ _BIN_CELLS = " UNION ALL ".join(
     ),
 )
 def mutual_information_binned(spark, sf_dir):
-    frame = FeatureEngineer().fit(counts(spark, sf_dir)).transform(counts(spark, sf_dir))
+    frame = FeatureEngineer().fit(staged_counts(spark, sf_dir)).transform(staged_counts(spark, sf_dir))
     names = list(_RATIO_OF)
     return rounded(explore.mutual_information(frame, names, continuous=names))
 
@@ -214,7 +215,7 @@ def mutual_information_binned(spark, sf_dir):
 def importance_ranking(spark, sf_dir):
     from pyspark.sql import Window
 
-    mi = rounded(explore.mutual_information(counts(spark, sf_dir), FEATURES))
+    mi = rounded(explore.mutual_information(staged_counts(spark, sf_dir), FEATURES))
     # One row per feature.
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("mi"), "feature")
     return mi.select(F.row_number().over(order).cast("bigint").alias("rank"), "feature")
@@ -232,7 +233,7 @@ def predicted_rate(spark, sf_dir):
 
 
 def _curve(spark, sf_dir) -> DataFrame:
-    return metrics.score_curve(counts(spark, sf_dir), "p_a")
+    return metrics.score_curve(staged_counts(spark, sf_dir), "p_a")
 
 
 @query(
@@ -322,7 +323,7 @@ def _point(mode: str, order: str, where: str = "", note: str = "''") -> str:
 
 
 def validation(spark, sf_dir) -> DataFrame:
-    df = counts(spark, sf_dir).select(ROW_ID, LABEL, "p_a", "p_b")
+    df = staged_counts(spark, sf_dir).select(ROW_ID, LABEL, "p_a", "p_b")
     return part(holdout_split(df), "val")
 
 

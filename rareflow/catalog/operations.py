@@ -30,6 +30,7 @@ from .base import (
     query,
     r6,
     rounded,
+    staged_counts,
     with_sql,
 )
 from .encoders import FIXED_CUTS, woe_table_sql
@@ -252,7 +253,7 @@ def _long_sql(prefix: str, source: str = _RECORD) -> str:
 )
 def fit_log(spark, sf_dir):
     path = _folder(spark, "run-log")
-    record = metric_record(score_curve(counts(spark, sf_dir), "p_a"), 0.3).first().asDict()
+    record = metric_record(score_curve(staged_counts(spark, sf_dir), "p_a"), 0.3).first().asDict()
     noisy = {**record, "confusion": [[1]], "fitted": True}
     runlog.log_fit(
         spark,
@@ -278,7 +279,7 @@ def fit_log(spark, sf_dir):
     ),
 )
 def numeric_metrics(spark, sf_dir):
-    record = metric_record(score_curve(counts(spark, sf_dir), "p_a"), 0.3)
+    record = metric_record(score_curve(staged_counts(spark, sf_dir), "p_a"), 0.3)
     noisy = record.withColumn("name", F.lit("x")).withColumn("ok", F.lit(True))
     return rounded(runlog.metrics_long(runlog.numeric_columns(noisy), prefix="m_"))
 
@@ -324,7 +325,7 @@ _FIXED = (
 )
 def binning_table_sink(spark, sf_dir):
     path = _folder(spark, "woe-tables")
-    tables = woe_table(bin_counts(counts(spark, sf_dir), FIXED_CUTS)).drop("is_total")
+    tables = woe_table(bin_counts(staged_counts(spark, sf_dir), FIXED_CUTS)).drop("is_total")
     runlog.write_binning_tables(tables, path)
     return rounded(spark.read.parquet(path).withColumn("feature", F.col("feature").cast("string")))
 
@@ -341,7 +342,7 @@ def binning_table_sink(spark, sf_dir):
 def run_history(spark, sf_dir):
     """Two batches appended to one log, then read back as one history."""
     path = _folder(spark, "history")
-    rows = counts(spark, sf_dir)
+    rows = staged_counts(spark, sf_dir)
     for name, label in (("positives", 1), ("negatives", 0)):
         scored = scoring.scored_rows(rows.filter(F.col(LABEL) == label), MODEL_A)
         s = scoring.batch_summary(scored, name, 0.3).first()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import splits
 from ..schema import LABEL, ROW_ID
-from .base import FEATURES, HOLDOUT_SQL, counts, query, r6, rounded, split_ctes, with_sql
+from .base import FEATURES, HOLDOUT_SQL, staged_counts, query, r6, rounded, split_ctes, with_sql
 
 _SPLIT_SQL = split_ctes(
     "test", "ceil(0.2e0 * n)", "val", "ceil(0.2e0 / (1e0 - 0.2e0) * (n - t1))"
@@ -17,17 +17,17 @@ _FOLD_SQL = (
 
 @query("d01_stratified_split", with_sql("SELECT row_id, label_1, split FROM parts", _SPLIT_SQL))
 def stratified(spark, sf_dir):
-    return splits.stratified_split(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    return splits.stratified_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
 
 
 @query("d02_holdout_split", with_sql("SELECT row_id, label_1, split FROM parts", HOLDOUT_SQL))
 def holdout(spark, sf_dir):
-    return splits.holdout_split(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    return splits.holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
 
 
 @query("d03_cv_folds", with_sql(_FOLD_SQL))
 def folds(spark, sf_dir):
-    return splits.assign_folds(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    return splits.assign_folds(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
 
 
 @query(
@@ -40,7 +40,7 @@ def folds(spark, sf_dir):
     ),
 )
 def sample(spark, sf_dir):
-    df = counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL)
+    df = staged_counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL)
     return splits.stratified_sample(df, 500)
 
 
@@ -51,7 +51,7 @@ def sample(spark, sf_dir):
     ),
 )
 def fold_sizes(spark, sf_dir):
-    df = splits.assign_folds(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    df = splits.assign_folds(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
     return df.groupBy(LABEL, "fold").count().withColumnRenamed("count", "n")
 
 
@@ -60,7 +60,7 @@ def fold_sizes(spark, sf_dir):
     with_sql("SELECT label_1, split, count(*) AS n FROM parts GROUP BY 1, 2", HOLDOUT_SQL),
 )
 def split_sizes(spark, sf_dir):
-    df = splits.holdout_split(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    df = splits.holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
     return df.groupBy(LABEL, "split").count().withColumnRenamed("count", "n")
 
 
@@ -73,7 +73,7 @@ def split_sizes(spark, sf_dir):
     ),
 )
 def rates(spark, sf_dir):
-    df = splits.stratified_split(counts(spark, sf_dir).select(ROW_ID, LABEL))
+    df = splits.stratified_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL))
     return rounded(splits.positive_rates(df))
 
 
@@ -84,5 +84,5 @@ def rates(spark, sf_dir):
     ),
 )
 def validation_rows(spark, sf_dir):
-    df = splits.holdout_split(counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL))
+    df = splits.holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, *FEATURES, LABEL))
     return splits.part(df, "val")
