@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..schema import LABEL
-from ..session import shared_dir, stage_table
+from ..session import shared_dir, spread, stage_table
 from ..sources.textfiles import read_text, write_text
 from .encoders import FittedStandardizer, Standardizer
 from .latent import assemble, balanced_copies
@@ -470,7 +470,8 @@ class Learner:
     def fit(
         self, train: DataFrame, columns: list[str], label: str = LABEL, seed: int = 42, **params
     ) -> Scorer:
-        return self.fit_rows(train, list(columns), label, {**self.defaults, **params}, seed)
+        rows = spread(train.select(label, *columns))
+        return self.fit_rows(rows, list(columns), label, {**self.defaults, **params}, seed)
 
 
 # Defaults, grids and sampling ranges of the registered models.

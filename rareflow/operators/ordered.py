@@ -132,19 +132,19 @@ def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
-    distinct_limit: int = 200_000,
+    distinct_limit: int = 1_000_000,
 ) -> dict[str, list[float]]:
     """Linear-interpolated quantiles of every column (as numpy computes them).
 
     The built-in exact ``percentile`` keeps every distinct value of a column in
-    one task's memory. That is used only while the estimated distinct count stays
-    under ``distinct_limit``; beyond it the ranks are read off distributed
+    one task's memory. That is used only while the estimated distinct counts of all
+    columns together stay under ``distinct_limit``; beyond it the ranks are read off distributed
     running counts, whose state never grows with the data.
     """
     if not columns:
         return {}
     sketch = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first()
-    if max(sketch[c] or 0 for c in columns) <= distinct_limit:
+    if sum(sketch[c] or 0 for c in columns) <= distinct_limit:
         return _quantiles_in_memory(df, columns, probabilities)
     return _quantiles_by_rank(df, columns, probabilities)
 

@@ -64,3 +64,13 @@ def stage_table(
         writer = df.repartition(partition_by).write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for compute-bound work on few, small files.
+
+    A large table has far more partitions than cores and is returned as it is. The
+    check plans a scan; give it a stage table rather than an unevaluated query.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
