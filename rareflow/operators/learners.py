@@ -229,7 +229,18 @@ def load_scorer(spark, path: str) -> Scorer:
 # ---------------------------------------------------------------- fitting
 
 
-def _training_rows(train: DataFrame, columns: list[str], label: str, weighting: str | None) -> DataFrame:
+def _training_rows(
+    train: DataFrame,
+    columns: list[str],
+    label: str,
+    weighting: str | None,
+    all_cores: bool = True,
+) -> DataFrame:
+    """Vector, label and weight. Trees use every core even on one small file; the many
+    short passes of a linear model are better off with the partitions as they are."""
+    train = train.select(label, *columns)
+    if all_cores:
+        train = spread(train)
     weighted = {
         None: lambda d: d.withColumn("_w", F.lit(1.0)),
         "balanced": lambda d: with_balanced_weight(d, label, "_w"),
@@ -286,7 +297,7 @@ def fit_forest(train, columns, label, params, seed) -> Scorer:
 
 def fit_logistic(train, columns, label, params, seed) -> Scorer:
     """Balanced logistic regression; C maps to Spark's penalty per unit of total weight."""
-    rows = _training_rows(train, columns, label, "balanced")
+    rows = _training_rows(train, columns, label, "balanced", all_cores=False)
     # Balanced weights sum to the number of rows.
     total = rows.agg(F.sum("_w")).first()[0]
     model = LogisticRegression(
@@ -470,8 +481,7 @@ class Learner:
     def fit(
         self, train: DataFrame, columns: list[str], label: str = LABEL, seed: int = 42, **params
     ) -> Scorer:
-        rows = spread(train.select(label, *columns))
-        return self.fit_rows(rows, list(columns), label, {**self.defaults, **params}, seed)
+        return self.fit_rows(train, list(columns), label, {**self.defaults, **params}, seed)
 
 
 # Defaults, grids and sampling ranges of the registered models.
