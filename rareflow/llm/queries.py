@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 p AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) AS c FROM p),
 c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i+1, i+2]) AS j FROM g WHERE c > 1) GROUP BY r),
