@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, simhash
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,8 @@ SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
 @query("op4_quality_rules", QUALITY_SQL)
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
+
+
+@query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
