@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash
+from . import bpe, quality_rules, simhash
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +57,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_simhash_near_dedup")
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_bpe_encode_decode")
+def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), path)
