@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, simhash
+from . import bpe, quality_rules, simhash, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d),
+j AS (SELECT page_id, n, p.d AS d, m, m IS NOT NULL AND m <> page_id AS again
+      FROM p LEFT JOIN r ON p.d = r.d AND n >= 1000)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN m END AS refers_to
+FROM j
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = warc.archive_folder(spark)
+    warc.write_archives(read_table(spark, sf_dir, "pages"), base)
+    return warc.read_archives(spark, base, payloads=False).drop("url", "payload")
