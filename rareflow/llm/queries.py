@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, simhash, warc
+from . import bpe, mixing, quality_rules, simhash, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,42 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = warc.archive_folder(spark)
     warc.write_archives(read_table(spark, sf_dir, "pages"), base)
     return warc.read_archives(spark, base, payloads=False).drop("url", "payload")
+
+
+MIXING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s),
+v AS (SELECT *, (k - 1) % 3 + 1 AS weight FROM w),
+o AS (SELECT *, row_number() OVER z AS pos,
+        (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER (z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share
+      FROM v WINDOW z AS (ORDER BY (3 * source_size)::DOUBLE / weight, k)),
+f AS (SELECT *, min(CASE WHEN share * weight <= 3 * source_size THEN pos END) OVER () AS first_open FROM o),
+t AS (SELECT *, CASE WHEN pos < first_open THEN (3 * source_size)::DOUBLE
+        ELSE max(CASE WHEN pos = first_open THEN share END) OVER () * weight END AS target FROM f),
+p AS (SELECT source, k, source_size, floor(target)::BIGINT AS wanted, (source_size + 255) // 256 AS n_blocks,
+        floor(target / 256)::BIGINT AS n_slots FROM t WHERE source_size > 0),
+j AS (SELECT *, unnest(range(0, least(n_slots + 5, greatest(3 * n_blocks, n_slots)))) AS j FROM p),
+b AS (SELECT *, j // n_blocks + 1 AS copy,
+        ((j % n_blocks) * (CASE WHEN n_blocks % 67108859 <> 0 THEN 67108859 ELSE 67108837 END)
+         + ('0x' || substr(md5(k || ':' || j // n_blocks), 1, 12))::BIGINT % n_blocks) % n_blocks AS block FROM j),
+l AS (SELECT *, least(256, source_size - block * 256) AS len FROM b),
+g AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS given FROM l),
+x AS (SELECT k, source, block, CASE WHEN j < n_slots THEN len ELSE greatest(0, least(len, wanted - given)) END AS take FROM g),
+a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size, r
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d WHERE size > 0),
+c AS (SELECT *, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM a),
+m AS (SELECT r, sum(greatest(0, least(start + size, c.block * 256 + take) - greatest(start, c.block * 256)))::BIGINT AS taken
+      FROM c JOIN x ON c.source IS NOT DISTINCT FROM x.source AND c.block = x.block GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN m USING (r)
+"""
+
+
+@query("op7_mixing", MIXING_SQL)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
