@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, simhash, warc
+from . import bpe, mixing, neighbours, quality_rules, simhash, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +122,8 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN m USING (r)
 @query("op7_mixing", MIXING_SQL)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_nearest_neighbours")
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
