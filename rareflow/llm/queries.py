@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, mixing, neighbours, quality_rules, simhash, warc
+from . import bpe, html_text, line_templates, mixing, neighbours, quality_rules, simhash, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,9 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.train(pages))
+
+
+@query("op5_line_templates")
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs)
