@@ -1,8 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
 Records are put in order of page id, cut into ranges, one task per range. The bounds come from a sample
-chosen by a hash of the id, so they depend on the rows alone and reruns make the same files. A task streams
-its sorted rows into gzip members, one per record, starts a new file when the compressed size reaches the
+chosen by a hash of the id, so they depend on the rows alone and reruns make the same files. Every
+page is packed into a gzip member of its own before the shuffle. A task streams its sorted members, starts a new file when the compressed size reaches the
 limit, writes under a temporary name and renames a finished file. The manifest, written last by Spark's own
 committer, names the files that count; what a lost attempt left is never read.
 
@@ -39,7 +39,7 @@ from ..session import shared_dir, stage_table
 #: Payloads from this length on are stored once.
 REVISIT_BYTES = 1000
 #: Payload bytes of a range, if that makes no more than SHARDS ranges; compressed bytes of a file.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 SHARDS = 10_000
 FILE_BYTES = 256 << 20
 #: Ids looked at for each bound.
@@ -66,10 +66,12 @@ def _lines(first: bytes, fields: list[tuple[str, Any]]) -> bytes:
     return b"\r\n".join([first, *told, b"", b""])
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(
+    page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool
+) -> bytes:
     """One uncompressed record; a revisit has the head of the response and no payload."""
     uri = f"urn:page:{page_id}" if url is None else url.replace("\r", "%0D").replace("\n", "%0A").strip()
-    block = _lines(b"HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))])
+    block = _lines(b"HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", size)])
     if not revisit:
         block += payload
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest} {revisit} {uri}")
@@ -85,7 +87,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
             ("WARC-Profile", PROFILE if revisit else None),
             ("X-Page-ID", page_id),
             ("X-Url", json.dumps(url) if url is None or url != uri else None),
-            ("X-Payload-Length", len(payload)),
+            ("X-Payload-Length", size),
             ("X-Refers-To-Page-ID", refers_to if revisit else None),
             ("Content-Type", "application/http; msgtype=response"),
             ("Content-Length", len(block)),
@@ -94,6 +96,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return head + block + b"\r\n\r\n"
 
 
+def pack(data: bytes) -> bytes:
+    """A record as a gzip member, the same bytes each time."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """Pages with their finished response instead of the payload, so that only packed bytes are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, members = [], []
+            for page_id, url, payload, digest in zip(*batch.columns, strict=True):
+                data = payload.as_py()
+                sizes.append(len(data))
+                members.append(pack(record(page_id.as_py(), url.as_py(), data, len(data), digest.as_py(), None, False)))
+            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "digest", "size", "member"])
+
+    told = rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"))
+    return told.mapInArrow(run, "page_id long, url string, digest string, size long, member binary")
+
+
 class _Files:
     """The files of one shard, one open at a time."""
 
@@ -101,7 +126,7 @@ class _Files:
         self.store, self.root = fs.FileSystem.from_uri(base)
         self.limit, self.out, self.seq, self.shard = limit, None, 0, -1
 
-    def add(self, shard: int, page_id: int | None, data: bytes) -> Iterator[tuple]:
+    def add(self, shard: int, page_id: int | None, member: bytes) -> Iterator[tuple]:
         if shard != self.shard:
             yield from self.close()
             self.shard, self.seq = shard, 0
@@ -110,8 +135,6 @@ class _Files:
             self.store.create_dir(f"{self.root}/_temporary", recursive=True)
             self.out = self.store.open_output_stream(self.draft, compression=None)
             self.records, self.bytes, self.sha1, self.first = 0, 0, hashlib.sha1(), page_id
-        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-        member = packer.compress(data) + packer.flush()
         self.out.write(member)
         self.sha1.update(member)
         self.records, self.bytes, self.last = self.records + 1, self.bytes + len(member), page_id
@@ -170,15 +193,14 @@ def write_archives(
     cut = Bucketizer(splits=[low, *(bounds or [0.0]), high], inputCol="_at", outputCol="_shard")
     nothing = F.lit(None)
     told = _decisions(slim).select(
-        "page_id", nothing.cast("string").alias("url"), nothing.cast("binary").alias("payload"), "digest", "keeper", F.lit(0).alias("kind")
-    )
-    both = told.unionByName(
-        rows.select("*", F.sha1("payload").alias("digest"), nothing.cast("long").alias("keeper"), F.lit(1).alias("kind"))
+        "page_id", nothing.cast("string").alias("url"), "digest", nothing.cast("long").alias("size"),
+        nothing.cast("binary").alias("member"), "keeper", F.lit(0).alias("kind"),
     )
+    both = told.unionByName(_members(rows).select("*", nothing.cast("long").alias("keeper"), F.lit(1).alias("kind")))
     at = F.coalesce(F.col("page_id").cast("double"), F.lit(low))
     sharded = cut.transform(both.withColumn("_at", at)).withColumn("shard", F.col("_shard").cast("int"))
     order = ["shard", F.asc_nulls_first("page_id"), "kind", "digest", F.asc_nulls_first("url")]
-    columns = ["shard", "page_id", "url", "payload", "digest", "keeper", "kind"]
+    columns = ["shard", "page_id", "url", "digest", "size", "member", "keeper", "kind"]
     dealt = sharded.select(*columns).repartitionById(max(2, len(bounds) + 1), F.col("shard")).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +211,7 @@ def write_archives(
         current: tuple = ()
         for batch in batches:
             for row in zip(*[c for c in batch.columns], strict=True):
-                shard, page_id, url, data, digest, keeper, kind = (x.as_py() for x in row)
+                shard, page_id, url, digest, size, member, keeper, kind = (x.as_py() for x in row)
                 if (page_id,) != current:
                     current, keepers, kept = (page_id,), {}, set()
                 if kind == 0:
@@ -197,8 +219,9 @@ def write_archives(
                     continue
                 is_revisit = digest in keepers and (keepers[digest] != page_id or digest in kept)
                 kept.add(digest)
-                refers_to = keepers[digest] if is_revisit else None
-                done += files.add(shard, page_id, record(page_id, url, data, digest, refers_to, is_revisit))
+                if is_revisit:
+                    member = pack(record(page_id, url, b"", size, digest, keepers[digest], True))
+                done += files.add(shard, page_id, member)
         done += files.close()
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         names = ["file", "shard", "records", "bytes", "sha1", "first", "last"]
