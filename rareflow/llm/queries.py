@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_templates, lm_scores, mixing, neighbours, quality_rules, simhash, warc
+from . import bpe, html_text, licences, line_templates, lm_scores, mixing, neighbours, quality_rules, simhash, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,9 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     models = lm_scores.train(docs.join(labels, "doc_id", "left"), F.col("quality") == 1)
     return lm_scores.score(docs, models)
+
+
+@query("op6_licences")
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
