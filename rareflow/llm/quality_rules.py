@@ -144,7 +144,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = _windows(F.col("_words"), n_words)
     hashed = split.select("*", windows.alias("_windows"), lines.alias("_lines"))
     text = F.col("_text")
-    return hashed.select("*", _repeated(F.col("_windows")).alias("_repeated")).select(
+    told = hashed.select("*", _repeated(F.col("_windows")).alias("_repeated")).select(
         F.col(id_col),
         n_words.cast("long").alias("n_words"),
         (F.length(text) - _count_of(text, WORD)).cast("long").alias("word_chars"),
@@ -156,6 +156,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("_lines").cast("long").alias("n_lines"),
         _count_of(text, r"[^\p{Lu}]+").cast("long").alias("n_upper"),
     )
+    # Behind a generator, or the optimizer would copy the whole measurement into every later filter.
+    return told.select(F.inline(F.array(F.struct(*told.columns))))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
