@@ -9,6 +9,7 @@ from ..operators.lookup import attach
 from ..operators.ordered import cut_index
 from ..operators.splits import assign_folds, holdout_split, part
 from ..schema import LABEL, ROW_ID
+from ..sources.star import read_table
 from .base import (
     FEATURES,
     HOLDOUT_SQL,
@@ -230,6 +231,28 @@ def target_apply(spark, sf_dir):
     return rounded(fitted.transform(held_out))
 
 
+_WIDE = "9007199254740992 + l_orderkey % 7"
+
+
+@query(
+    "e07_typed_target_map",
+    f"""WITH r AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_linestatus AS mode, {_WIDE} AS wide FROM lineitem),
+        p AS (SELECT avg(y) AS p FROM r),
+        c AS (SELECT 'mode' AS feature, mode AS value, y FROM r
+              UNION ALL SELECT 'wide', CAST(wide AS VARCHAR), y FROM r)
+        SELECT feature, value, count(*) AS n, {r6('(sum(y) + p * 20e0) / (count(*) + 20e0)', 'te')}
+        FROM c CROSS JOIN p GROUP BY feature, value, p""",
+)
+def typed_target_map(spark, sf_dir):
+    """A string column and integers that a double cannot tell apart."""
+    rows = read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias(LABEL),
+        F.col("l_linestatus").alias("mode"),
+        (F.lit(2**53) + F.col("l_orderkey") % 7).alias("wide"),
+    )
+    return rounded(encoders.CrossFitTargetEncoder().fit(rows, ["mode", "wide"]).full_map())
+
+
 @query(
     "j01_map_with_default",
     with_sql(

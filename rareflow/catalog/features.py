@@ -8,7 +8,7 @@ from ..operators import features as feats
 from ..operators.splits import holdout_split, part
 from ..schema import LABEL, ROW_ID
 from ..sources.star import counts_from_documents
-from ..sources.tables import features_and_label, load_counts, load_folder
+from ..sources.tables import features_and_label, list_folder, load_counts, load_folder
 from ..sources.validation import with_reason
 from .base import (
     FEATURES,
@@ -39,7 +39,7 @@ SELECT doc_id AS row_id, CAST(len(ws) AS BIGINT) AS num_words,
        CAST(len(list_distinct(ws)) AS BIGINT) AS num_unique_words,
        CAST(len(list_filter(ws, lambda w: length(w) <= 3)) AS BIGINT) AS num_stopwords,
        CAST(toxic AS INTEGER) AS label_1
-FROM words JOIN labels USING (doc_id)"""
+FROM words LEFT JOIN labels USING (doc_id)"""
 
 
 @query("s00_counts_from_documents", _DOCS_SQL)
@@ -55,7 +55,8 @@ def _csv_copy(spark, sf_dir, files=4):
 
     path = f"{shared_dir(spark)}/rareflow-csv-{uuid.uuid4().hex}"
     table = counts(spark, sf_dir).drop("p_a", "p_b")
-    table.repartition(files, ROW_ID).write.option("header", True).csv(path)
+    # Round robin: a repartition by the key the rows already lie by may be planned away.
+    table.repartition(files).write.option("header", True).csv(path)
     return path
 
 
@@ -86,6 +87,14 @@ def folder_rows(spark, sf_dir):
     )
 
 
+@query("s05_list_folder", "SELECT CAST(4 AS BIGINT) AS n_files, true AS sized")
+def folder_listing(spark, sf_dir):
+    """The listing itself: names and sizes without reading a row."""
+    return list_folder(spark, _csv_copy(spark, sf_dir)).agg(
+        F.count_distinct("file_name").alias("n_files"), (F.min("n_bytes") > 0).alias("sized")
+    )
+
+
 def _damaged(df):
     """Rows as they might arrive: some with a missing word count, some with negative links."""
     kind = F.pmod(F.col(ROW_ID), F.lit(50))

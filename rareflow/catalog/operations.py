@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from ..functions import hashing
 from ..operators.metrics import metric_record, score_curve
 from ..operators.woe import bin_counts, woe_table
 from ..plans import runlog, scoring
-from ..plans.caches import search_cache_key
 from ..plans.versions import newest_first
 from ..schema import LABEL, ROW_ID
 from ..session import shared_dir
@@ -124,8 +124,6 @@ def embedding_keys(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", key.alias("cache_key"))
 
 
-_LOOKUP = ("lightgbm", "raw", "grid", 40, 5, ["a", "b"])
-
 
 @query(
     "j07_cache_lookup",
@@ -144,7 +142,7 @@ def cache_lookup(spark, sf_dir):
         F.array(F.lit("b"), F.lit("a")),
         F.array().cast("array<string>"),
     )
-    wanted = search_cache_key("Brand#11", *_LOOKUP[1:])
+    wanted = hashlib.sha256(b"Brand#11|raw|grid|grid|5|a,b|").hexdigest()[:16]
     entries = read_table(spark, sf_dir, "part").withColumn("cache_key", key)
     found = entries.filter(F.col("cache_key") == wanted)
     return found.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
@@ -403,7 +401,7 @@ def scoring_response(spark, sf_dir):
 def streaming_scoring(spark, sf_dir):
     """The count table as a stream of files, scored in micro-batches until drained."""
     source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
-    counts(spark, sf_dir).drop("p_a", "p_b", LABEL).repartition(3, ROW_ID).write.parquet(source)
+    counts(spark, sf_dir).drop("p_a", "p_b", LABEL).repartition(3).write.parquet(source)
     stream = read_count_stream(spark, source, max_files=2)
     start_scoring(
         stream, MODEL_A, VERSION, out, _folder(spark, "stream-state"), once=True

@@ -45,7 +45,7 @@ def search_key(
     columns: Column,
     overrides: Column,
 ) -> Column:
-    """Key of one hyper-parameter search; the budget counts for random search only.
+    """Key of one hyper-parameter search (fixed fields and order); the budget counts for random search only.
 
     ``overrides`` is an array of ``name=value`` strings (embedding settings).
     """
@@ -77,7 +77,7 @@ def embedding_key(
     columns: Column,
     n_train_rows: Column,
 ) -> Column:
-    """Key of one trained embedding: settings, input columns and training size."""
+    """Key of one trained embedding (fixed fields and order): settings, input columns and training size."""
 
     def flag(c: Column) -> Column:
         return F.when(c, F.lit("True")).otherwise(F.lit("False"))

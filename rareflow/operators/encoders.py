@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..schema import LABEL
 from ..session import stage_table
-from .lookup import attach
-from .ordered import cut_index, exact_quantiles, long_form
+from .lookup import BROADCAST_ROWS, attach
+from .ordered import cut_index, exact_quantiles, keyed_form
 
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
@@ -95,7 +95,7 @@ class CrossFitTargetEncoder:
         folds = F.col(self.fold) if self.fold in train.columns else F.lit(0)
         cells = train.select(F.col(self.label).alias("_y"), folds.alias("_f"), *columns)
         stats = (
-            long_form(cells, columns, carry=["_y", "_f"])
+            keyed_form(cells, columns, carry=["_y", "_f"])
             .filter(F.col("value").isNotNull())
             .groupBy("feature", "value", "_f")
             .agg(
@@ -115,6 +115,7 @@ class FittedTargetEncoder:
     prior: float
     smoothing: float
     fold: str
+    maps: dict[str, tuple[DataFrame, dict[str, int]]] = field(default_factory=dict, repr=False)
 
     def _smooth(self, pos: Column, n: Column) -> Column:
         return (pos.cast("double") + F.lit(self.prior * self.smoothing)) / (
@@ -142,18 +143,26 @@ class FittedTargetEncoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Encode rows that were not in the fit (validation, test, scoring)."""
-        return self._encode(df, self.full_map(), [])
+        return self._encode(df, "full", self.full_map, [])
 
     def transform_train(self, train: DataFrame) -> DataFrame:
         """Encode the fit rows, each from the other folds."""
-        return self._encode(train, self.out_of_fold_map(), [self.fold])
-
-    def _encode(self, df: DataFrame, table: DataFrame, extra: list[str]) -> DataFrame:
+        return self._encode(train, "out_of_fold", self.out_of_fold_map, [self.fold])
+
+    def applied(self, kind: str, build) -> tuple[DataFrame, dict[str, int]]:
+        """A map and its rows per feature; written once for the model, however many batches it encodes."""
+        if kind not in self.maps:
+            # One folder per feature: every column then reads only its own part.
+            table = stage_table(build(), "target-map", partition_by="feature")
+            rows = table.groupBy("feature").agg(F.count(F.lit(1)).alias("size")).collect()
+            self.maps[kind] = table, {r["feature"]: r["size"] for r in rows}
+        return self.maps[kind]
+
+    def _encode(self, df: DataFrame, kind: str, build, extra: list[str]) -> DataFrame:
         out = df
-        # Written once, one folder per feature: every column then reads only its own part.
-        table = stage_table(table, "target-map", partition_by="feature")
-        rows = table.groupBy("feature").agg(F.count(F.lit(1)).alias("size")).collect()
-        sizes = {r["feature"]: r["size"] for r in rows}
+        table, sizes = self.applied(kind, build)
+        # What all columns together may broadcast.
+        room = BROADCAST_ROWS // max(1, len(self.columns))
         for c in self.columns:
             mine = table.filter(F.col("feature") == c).select(
                 F.col("value").cast(df.schema[c].dataType).alias(c),
@@ -162,7 +171,7 @@ class FittedTargetEncoder:
                 F.col("te").alias(f"{c}_te"),
             )
             keys = [c, *extra]
-            out = attach(out, mine, keys, [f"{c}_te"], rows_column="n", size=sizes.get(c, 0))
+            out = attach(out, mine, keys, [f"{c}_te"], rows_column="n", broadcast_rows=room, size=sizes.get(c, 0))
         encoded = [F.coalesce(F.col(f"{c}_te"), F.lit(self.prior)).alias(f"{c}_te") for c in self.columns]
         return out.select(*[c for c in df.columns if c not in self.columns], *encoded)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CLASS_NAMES, LABEL
 from .metrics import ratio
-from .ordered import exact_quantiles, long_form, value_counts
+from .ordered import exact_quantiles, keyed_form, long_form
 
 
 def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,9 +29,9 @@ def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
         )
         for c in columns
     ]
-    distinct = value_counts(df, columns).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_unique")
-    )
+    # By the values themselves: long integers and strings are not merged by a common number type.
+    values = keyed_form(df, columns).filter(F.col("value").isNotNull()).distinct()
+    distinct = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
     moments = (
         long_form(df, columns)
         .groupBy("feature")
@@ -93,7 +93,7 @@ def mutual_information(
         for c in continuous:
             cells = cells.withColumn(c, binner.bin_of(c))
     joint = (
-        long_form(cells, columns, carry=["_y"])
+        keyed_form(cells, columns, carry=["_y"])
         .groupBy("feature", "value")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -39,6 +39,7 @@ from .metrics import with_balanced_weight, with_imbalance_weight
 
 STAGE_EVERY = 10
 MAX_TREE_DEPTH = 30
+MAX_BINS = 256
 
 # ---------------------------------------------------------------- scorers
 
@@ -259,6 +260,11 @@ def _depth(params: dict) -> int:
     return MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH)
 
 
+def _bins(params: dict) -> int:
+    """How finely tree learners cut a feature; Spark's own default of 32 is coarse for skewed counts."""
+    return int(params.get("max_bins", MAX_BINS))
+
+
 def fit_gradient_boosting(weighting: str) -> Callable:
     def fit(train, columns, label, params, seed) -> Scorer:
         shared_dir(train.sparkSession)
@@ -269,6 +275,7 @@ def fit_gradient_boosting(weighting: str) -> Callable:
             maxIter=int(params.get("n_estimators", params.get("iterations", 100))),
             stepSize=float(params["learning_rate"]),
             maxDepth=_depth(params),
+            maxBins=_bins(params),
             minInstancesPerNode=int(
                 params.get("min_child_samples", params.get("min_child_weight", 1))
             ),
@@ -289,6 +296,7 @@ def fit_forest(train, columns, label, params, seed) -> Scorer:
         weightCol="_w",
         numTrees=int(params["n_estimators"]),
         maxDepth=_depth(params),
+        maxBins=_bins(params),
         minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
         seed=seed,
     )
@@ -345,6 +353,7 @@ def fit_focal_boosting(train, columns, label, params, seed) -> Scorer:
         labelCol="_target",
         weightCol="_h",
         maxDepth=_depth(params),
+        maxBins=_bins(params),
         minInstancesPerNode=int(params.get("min_child_samples", 1)),
         seed=seed,
     )
@@ -384,7 +393,7 @@ def fit_adaboost(train, columns, label, params, seed) -> Scorer:
     rows = _training_rows(train, columns, label, "balanced").select("_x", "_y", F.col("_w").alias("_c"))
     state = stage_table(rows.withColumn("_b", F.lit(1.0)), "adaboost")
     learner = DecisionTreeClassifier(
-        featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=_depth(params), seed=seed
+        featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=_depth(params), maxBins=_bins(params), seed=seed
     )
     trees, alphas = [], []
     for done in range(1, int(params["n_estimators"]) + 1):
@@ -587,5 +596,6 @@ LEARNERS: dict[str, Learner] = {
         ),
     ]
 }
-DEFAULT_MODELS = ["lightgbm", "xgboost", "catboost"]
+# Fixed value: the order decides ties in a blend.
+DEFAULT_MODELS = ["lightgbm", "catboost", "xgboost"]
 

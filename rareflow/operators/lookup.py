@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import value_key
+
 BROADCAST_ROWS = 500_000
 HOT_SHARE = 1 / 500
 
@@ -40,15 +42,17 @@ def attach(
     hot = lookup.filter(is_hot).select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values])
     hot = hot.withColumn("_hot", F.lit(True))
     with_hot = df.join(F.broadcast(hot), keys, "left")
-    text = lambda: F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
+    # The keys as text, alike on both sides and for -0.0 and 0.0, as in an ordinary join.
+    text = lambda frame: F.concat_ws("\u0001", *[value_key(frame, k) for k in keys])
     absent = F.lit(False)
     for k in keys:
         absent = absent | F.col(k).isNull()
-    spread = F.concat(F.lit("~"), F.xxhash64(*[c for c in df.columns]).cast("string"))
+    # Unique for each row, so that equal rows are spread too.
+    spread = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
     done = F.col("_hot").isNotNull() | absent
-    routed = with_hot.withColumn("_key", F.when(done, spread).otherwise(text()))
+    routed = with_hot.withColumn("_key", F.when(done, spread).otherwise(text(df)))
     cold = lookup.filter(~is_hot).select(
-        text().alias("_key"), *[F.col(v).alias(f"_cold_{v}") for v in values]
+        text(lookup).alias("_key"), *[F.col(v).alias(f"_cold_{v}") for v in values]
     )
     joined = routed.join(cold, "_key", "left")
     return joined.select(

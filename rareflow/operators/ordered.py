@@ -11,18 +11,15 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import stage_table
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
 
 
-def range_cuts(
-    df: DataFrame,
-    value: str,
-    rows_per_range: int = ROWS_PER_RANGE,
-    max_ranges: int = MAX_RANGES,
-) -> list[float]:
-    """Inner cut points for ``value``: one aggregate, at most ``max_ranges`` numbers.
+def range_cuts(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+    """Inner cut points for ``value``: one aggregate, one number for each ``rows_per_range`` rows.
 
     A value holding much of the mass repeats among the quantiles and collapses to
     one cut; after grouping by value it is one row, so it does not skew a range.
@@ -31,7 +28,7 @@ def range_cuts(
     n, coarse = df.agg(
         F.count(value), F.percentile_approx(F.col(value).cast("double"), steps, 10_000)
     ).first()
-    wanted = min(max_ranges, -(-n // rows_per_range)) if n else 1
+    wanted = -(-n // rows_per_range) if n else 1
     if wanted <= 1:
         return []
     if wanted <= 256:
@@ -39,7 +36,7 @@ def range_cuts(
         return sorted(set(coarse[every - 1 :: every]))
     fine = [i / wanted for i in range(1, wanted)]
     points = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), fine, 20 * wanted)
+        F.percentile_approx(F.col(value).cast("double"), fine, min(20 * wanted, 1 << 30))
     ).first()[0]
     return sorted(set(points))
 
@@ -50,8 +47,12 @@ def with_range(df: DataFrame, value: str, cuts: list[float], out: str = "_range"
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
     typed = df.withColumn("_axis", F.col(value).cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="_axis", outputCol="_slot").transform(typed)
-    return ranged.withColumn(out, F.col("_slot").cast("int")).drop("_axis", "_slot")
+    # NaN gets a range of its own above all others and null one below, as they stand in Spark's order.
+    ranged = Bucketizer(
+        splits=splits, inputCol="_axis", outputCol="_slot", handleInvalid="keep"
+    ).transform(typed)
+    slot = F.when(F.col("_axis").isNull(), F.lit(-1)).otherwise(F.col("_slot").cast("int"))
+    return ranged.withColumn(out, slot).drop("_axis", "_slot")
 
 
 def running_sums(
@@ -122,42 +123,44 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, value, n) over non-null values; repeated values collapse before the shuffle."""
     return (
         long_form(df, columns)
-        .filter(F.col("value").isNotNull())
+        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def value_key(df: DataFrame, column: str) -> Column:
+    """A value as text that tells different values of its own type apart, -0.0 and 0.0 excepted."""
+    value = F.col(column)
+    if isinstance(df.schema[column].dataType, T.FractionalType) and not isinstance(
+        df.schema[column].dataType, T.DecimalType
+    ):
+        value = value + F.lit(0.0).cast(df.schema[column].dataType)
+    return value.cast("string")
+
+
+def keyed_form(df: DataFrame, columns: list[str], carry: list[str] = ()) -> DataFrame:
+    """(carry…, feature, value) with values as ``value_key``: nothing is merged by a common type."""
+    cells = [F.struct(F.lit(c).alias("feature"), value_key(df, c).alias("value")) for c in columns]
+    return df.select(*carry, F.inline(F.array(*cells)))
+
+
 def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probabilities: list[float],
-    distinct_limit: int = 1_000_000,
+    df: DataFrame, columns: list[str], probabilities: list[float]
 ) -> dict[str, list[float]]:
     """Linear-interpolated quantiles of every column (as numpy computes them).
 
-    The built-in exact ``percentile`` keeps every distinct value of a column in
-    one task's memory. That is used only while the estimated distinct counts of all
-    columns together stay under ``distinct_limit``; beyond it the ranks are read off distributed
-    running counts, whose state never grows with the data.
+    Ranks are read off distributed running counts at every size, since the built-in exact
+    ``percentile`` keeps all distinct values of a column in one task. Nulls and NaN are left out.
     """
     if not columns:
         return {}
-    sketch = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first()
-    if sum(sketch[c] or 0 for c in columns) <= distinct_limit:
-        return _quantiles_in_memory(df, columns, probabilities)
     return _quantiles_by_rank(df, columns, probabilities)
 
 
-def _quantiles_in_memory(df, columns, probabilities):
-    # One parsed literal array; building it element by element costs a call each.
-    probes = F.expr("array(" + ",".join(f"{float(p)!r}D" for p in probabilities) + ")")
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), probes).alias(c) for c in columns]).first()
-    return {c: list(row[c]) if row[c] is not None else [] for c in columns}
-
-
 def _quantiles_by_rank(df, columns, probabilities, cuts=None):
-    counts = value_counts(df, columns)
+    # Written once: the cuts and the running sums both read it, and it is smaller than the rows.
+    counts = stage_table(value_counts(df, columns), "value-counts")
     cum = running_sums(counts, "value", ["n"], ["feature"], descending=False, cuts=cuts)
     # Row covers 0-based ranks [cum_n - n, cum_n); a quantile needs the two ranks
     # around p * (total - 1).
@@ -189,8 +192,6 @@ def _quantiles_by_rank(df, columns, probabilities, cuts=None):
     return {c: [v for _, v in sorted(table[c].items())] for c in columns}
 
 
-
-
 def _with_probes(spans: DataFrame, probabilities: list[float]) -> DataFrame:
     """One row per (span, probability that may fall in it).
 

@@ -175,7 +175,11 @@ class FittedRecipe:
         for i, (name, step) in enumerate(self.steps):
             state = dict(vars(step))
             if isinstance(step, FittedTargetEncoder):
+                # The map that scoring applies belongs to the model, so that no batch builds it again.
+                state.pop("maps")
                 state.pop("stats").write.parquet(f"{path}/step-{i}-stats")
+                table, state["map_sizes"] = step.applied("full", step.full_map)
+                table.write.partitionBy("feature").parquet(f"{path}/step-{i}-map")
             if "scaler" in state:
                 state["scaler"] = state["scaler"].moments
             steps.append({"name": name, "state": state})
@@ -207,5 +211,8 @@ def load_recipe(spark: SparkSession, path: str) -> FittedRecipe:
             state["scaler"] = FittedStandardizer(moments)
         if entry["name"] == "target":
             state["stats"] = spark.read.parquet(f"{path}/step-{i}-stats")
+            typed = "value string, n long, te double, feature string"
+            table = spark.read.schema(typed).parquet(f"{path}/step-{i}-map")
+            state["maps"] = {"full": (table, state.pop("map_sizes"))}
         steps.append((entry["name"], _STEP_TYPES[entry["name"]](**state)))
     return FittedRecipe(body["mode"], body["inputs"], body["columns"], steps)

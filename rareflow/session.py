@@ -31,9 +31,8 @@ def local_session(cpus: str = "*", app: str = "rareflow", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, as the session names it.
 
-    On a cluster the folder must be given in ``spark.checkpoint.dir``; a local
-    session without one gets a temporary folder, since there the driver's disk
-    is the executors' disk.
+    On a cluster the folder must be given in ``spark.checkpoint.dir``. Only a session of
+    one process (``local``, ``local[n]``) without one gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="rareflow-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -60,8 +59,8 @@ def stage_table(
     path = f"{shared_dir(spark)}/rareflow-{label}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by is not None:
-        # One writer per partition value, so folders hold few files.
-        writer = df.repartition(partition_by).write.partitionBy(partition_by)
+        # Few files per folder; a value with many rows is split over several writers.
+        writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -85,7 +85,7 @@ def _labelled(counts: DataFrame) -> DataFrame:
 
 
 def counts_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word-based counts of whole labelled documents; the label is ``toxic``.
+    """Word-based counts of whole documents; the label is ``toxic``, null where there is none.
 
     Links, domains and e-mail addresses hardly occur in these texts, so the table
     carries the word columns only: a natural case of missing canonical columns.
@@ -98,7 +98,7 @@ def counts_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias(ROW_ID), F.col("toxic").cast("int").alias(LABEL)
     )
     common = F.filter("words", lambda w: F.length(w) <= 3)
-    return docs.join(labels, ROW_ID).select(
+    return docs.join(labels, ROW_ID, "left").select(
         ROW_ID,
         F.size("words").cast("bigint").alias("num_words"),
         F.size(F.array_distinct("words")).cast("bigint").alias("num_unique_words"),

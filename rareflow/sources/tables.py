@@ -44,7 +44,7 @@ def load_folder(spark: SparkSession, folder: str, labelled: bool = True) -> Data
         .option("pathGlobFilter", "*.csv")
         .schema(counts_schema(labelled))
         .csv(folder)
-        .withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        .select("*", F.col("_metadata.file_name").alias("file_name"))
     )
 
 

@@ -115,6 +115,28 @@ def test_lookup_paths_agree_on_skewed_keys(spark):
     assert got == want and len(got) == 3000
 
 
+def test_lookup_paths_agree_on_signed_zero_and_equal_rows(spark):
+    df = spark.createDataFrame([(v,) for v in [-0.0, 0.0, 1.5, 1.5, 1.5, None, float("nan")]], "k double")
+    table = spark.createDataFrame([(0.0, 2, 7.0), (1.5, 3, 8.0), (float("nan"), 1, 9.0)], "k double, n long, m double")
+    told = lambda rows: sorted((str(r["k"]).lstrip("-"), r["m"]) for r in lookup.attach(df, table, ["k"], ["m"], "n", broadcast_rows=rows).collect())
+    assert told(100) == told(1) == sorted(
+        [("0.0", 7.0)] * 2 + [("1.5", 8.0)] * 3 + [("None", None), ("nan", 9.0)], key=lambda x: x
+    )
+
+
+def test_target_means_keep_values_apart(spark):
+    """Long integers beyond doubles, strings, and signed zeros, which are one value."""
+    big = 2**53
+    rows = [(big, "a", -0.0, 1), (big + 1, "b", 0.0, 0), (big + 1, "b", 1.0, 0), (None, None, None, 1)]
+    train = spark.createDataFrame(rows, f"i long, s string, d double, {LABEL} int")
+    fitted = encoders.CrossFitTargetEncoder(smoothing=0.0).fit(train, ["i", "s", "d"])
+    got = [tuple(r) for r in fitted.transform(train).select("i_te", "s_te", "d_te").collect()]
+    assert sorted(got) == sorted([(1.0, 1.0, 0.5), (0.0, 0.0, 0.5), (0.0, 0.0, 0.0), (0.5, 0.5, 0.5)])
+    assert len(fitted.maps) == 1
+    fitted.transform(train)
+    assert len(fitted.maps) == 1
+
+
 def test_smoothing_leaves_flags_alone(counts):
     frame = counts.select(ROW_ID, *COUNT_COLUMNS)
     engineered = features.FeatureEngineer().fit(frame).transform(frame)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -149,32 +150,30 @@ def test_driver_keys_equal_column_keys(spark):
             F.lit(0.005), F.lit(False), F.lit(True), F.array(F.lit("b"), F.lit("a")), F.lit(99),
         ).alias("e"),
     ).first()
-    assert row["s"] == caches.search_cache_key("m", "raw", "random", 40, 3, ["a", "b"], {"x": 1, "y": 2})
-    assert row["e"] == caches.embedding_cache_key(
-        16, 40, 20, 0.5, 0.25, 15, "sgd", 0.005, False, True, ["a", "b"], 99
-    )
+    short = lambda text: hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert row["s"] == short("m|raw|random|40|3|a,b|x=1,y=2")
+    assert row["e"] == short("16|40|20|0.500000|0.250000|15|sgd|0.00500000|False|True|a,b|99")
 
 
-def test_cache_key_changes_with_columns_and_budget():
-    key = lambda **k: caches.search_cache_key(
-        **{**dict(model="m", mode="raw", method="grid", n_iter=1, n_folds=3, columns=["a", "b", "c"]), **k}
-    )
-    assert key() == key(columns=["c", "b", "a"]) == key(n_iter=9)
-    assert key() != key(columns=["a", "b", "d"])
-    assert key(method="random") != key(method="random", n_iter=2)
+def test_cache_key_covers_every_setting():
+    base = {"model": "m", "seed": 1, "columns": ["a", "b"], "candidates": None, "label": "y"}
+    assert caches.settings_key(base) == caches.settings_key(dict(reversed(base.items())))
+    changes = [{"seed": 2}, {"label": "z"}, {"candidates": [{"C": 1}]}, {"columns": ["a"]}, {"max_iter": 5}]
+    keys = {caches.settings_key({**base, **c}) for c in [{}, *changes]}
+    assert len(keys) == len(changes) + 1
 
 
 def test_unreadable_cache_entry_is_a_miss(spark, tmp_path):
     folder = str(tmp_path)
-    assert caches.load_winner(spark, folder, "none") is None
-    path = caches.save_winner(spark, folder, "m", "raw", "grid", 1, 3, ["a"], {"C": 1.0}, 0.5)
-    key = path.rsplit("/", 1)[1].removesuffix(".json")
-    assert caches.load_winner(spark, folder, key)["best_params"] == {"C": 1.0}
-    write_text(spark, path, "{broken")
-    assert caches.load_winner(spark, folder, key) is None
-    write_text(spark, path, json.dumps({"best_params": {}}))
-    assert caches.load_winner(spark, folder, key) is None
-    assert caches.load_embedding(spark, folder, key) is None
+    settings = {"model": "m", "seed": 3}
+    assert caches.load_winner(spark, folder, settings) is None
+    path = caches.save_winner(spark, folder, settings, {"C": 1.0}, 0.5)
+    assert caches.load_winner(spark, folder, settings)["best_params"] == {"C": 1.0}
+    assert caches.load_winner(spark, folder, {**settings, "seed": 4}) is None
+    for content in ("{broken", json.dumps({"best_params": {}}), json.dumps({"settings": {"seed": 4}, "best_params": {}, "cv_pr_auc": 1})):
+        write_text(spark, path, content)
+        assert caches.load_winner(spark, folder, settings) is None
+    assert caches.load_embedding(spark, folder, settings) is None
 
 
 def test_candidates():

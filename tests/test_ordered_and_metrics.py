@@ -92,16 +92,30 @@ def test_running_sums_per_key_ascending(spark):
 
 
 @pytest.mark.parametrize("probabilities", [[0.01, 0.25, 0.5, 0.99], [i / 50 for i in range(51)]])
-def test_both_quantile_paths_match_numpy(spark, probabilities):
+def test_quantiles_match_numpy(spark, probabilities):
     data = np.concatenate([np.zeros(60), rng.integers(0, 9, 90), rng.random(51) * 3]).tolist()
     df = spark.createDataFrame([(v, -v) for v in data], "a double, b double")
     want = {"a": np.quantile(data, probabilities), "b": np.quantile([-v for v in data], probabilities)}
-    memory = exact_quantiles(df, ["a", "b"], probabilities)
-    ranks = exact_quantiles(df, ["a", "b"], probabilities, distinct_limit=0)
+    plain = exact_quantiles(df, ["a", "b"], probabilities)
     ranged = _quantiles_by_rank(df, ["a", "b"], probabilities, cuts=[-2.0, -0.5, 0.0, 1.0, 4.0])
-    for got in (memory, ranks, ranged):
-        for c in "ab":
-            assert got[c] == pytest.approx(list(want[c]), abs=1e-9)
+    assert plain == ranged
+    for c in "ab":
+        assert plain[c] == pytest.approx(list(want[c]), abs=1e-9)
+
+
+def test_quantiles_and_ranks_of_odd_values(spark):
+    """NaN, null, signed zeros and a one-value column: the same with and without ranges."""
+    values = [float("nan"), None, -0.0, 0.0, 2.0, 2.0, -1.0]
+    df = spark.createDataFrame([(v, 3.0) for v in values], "a double, b double")
+    plain = exact_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0])
+    assert plain == _quantiles_by_rank(df, ["a", "b"], [0.0, 0.5, 1.0], cuts=[-0.5, 0.0, 1.0, 3.0])
+    assert plain == {"a": [-1.0, 0.0, 2.0], "b": [3.0, 3.0, 3.0]}
+    counts = df.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    told = lambda cuts, down: sorted(
+        (str(r["a"]), r["cum_n"], r["all_n"]) for r in running_sums(counts, "a", ["n"], [], down, cuts).collect()
+    )
+    for down in (True, False):
+        assert told([], down) == told([-0.5, 0.0, 1.0], down)
 
 
 def grid_of(spark, pairs):
