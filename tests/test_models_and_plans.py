@@ -124,11 +124,26 @@ def test_bounds_enclose_the_exact_value(counts):
     vectors = dict(enumerate(blend.weight_vectors(2)))
     tuples = blend.score_tuples(counts, names)
     exact = {r["weight_id"]: r["ap"] for r in blend.weight_scores(counts, names).collect()}
-    for bins in (1, 8, 2048):
+    for bins in (1, 8, 256):
         for r in blend.ap_bounds(tuples, names, vectors, bins).collect():
             assert r["low"] - 1e-12 <= exact[r["weight_id"]] <= r["high"] + 1e-12
 
 
+def test_crowded_scores_are_pruned(spark):
+    """Calibrated scores of rare events lie near zero; most weight vectors must still drop out early."""
+    rng = np.random.default_rng(4)
+    y = rng.random(20_000) < 0.02
+    a, b, c = (0.004 / (1 + np.exp(3 - g * y - rng.normal(size=len(y)))) for g in (3.0, 1.5, 0.2))
+    rows = [(int(t), float(p), float(q), float(r)) for t, p, q, r in zip(y, a, b, c)]
+    df = spark.createDataFrame(rows, f"{LABEL} int, p_a double, p_b double, p_c double")
+    names = ["p_a", "p_b", "p_c"]
+    best = blend.optimize_weights(df, names)
+    scores = {r["weight_id"]: r["ap"] for r in blend.weight_scores(df, names).collect()}
+    winner = min(scores, key=lambda i: (-scores[i], i))
+    assert best.weights == blend.weight_vectors(3)[winner]
+    assert best.n_evaluated < 0.2 * len(scores)
+
+
 @pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
 def test_calibration_is_monotone(counts, method):
     fitted = calibration.fit_calibration(counts, "p_a", method)
