@@ -124,6 +124,21 @@ def test_lookup_paths_agree_on_signed_zero_and_equal_rows(spark):
     )
 
 
+@pytest.mark.parametrize("partitions", ["1", "3", "4", "8"])
+def test_folder_of_files_does_not_depend_on_shuffle_partitions(spark, partitions):
+    from conftest import SMALL
+
+    from rareflow.catalog import QUERIES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert QUERIES["s05_folder_rows"](spark, SMALL).first()["n_files"] == 4
+        assert QUERIES["s05_list_folder"](spark, SMALL).first()["n_files"] == 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_target_means_keep_values_apart(spark):
     """Long integers beyond doubles, strings, and signed zeros, which are one value."""
     big = 2**53
