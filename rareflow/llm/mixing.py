@@ -27,7 +27,7 @@ from .common import SPACE_CLASS, WORD
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
-CELL_ROWS = 8192
+CELL_ROWS = 1024
 CHUNK_SLOTS = 1 << 16
 #: A source is taken at most so many times.
 MOST = 3
