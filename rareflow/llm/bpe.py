@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import Shared
 from .lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 1 << 16
@@ -252,7 +252,7 @@ def train_lexicon(docs: DataFrame, merges: Merges, text_col: str = "text") -> by
 def _shared(spark: SparkSession, docs: DataFrame, path: str, text_col: str):
     merges = Merges(path)
     content = train_lexicon(docs, merges, text_col)
-    return spark.sparkContext.broadcast((merges, content))
+    return Shared(spark, (merges, content))
 
 
 def _coder(shared) -> Encoder:
@@ -293,16 +293,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and ``decoded``, the text of ``ids``; null ids decode to the empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Merges(path))
+    shared = Shared(encoded.sparkSession, Merges(path))
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value)
-        texts = [coder.decode(x.as_py() or b"") for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+        for batch in batches:
+            texts = [coder.decode(x.as_py() or b"") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     slim = _slim(encoded, id_col, ids_col)
     kind = slim.schema["id"].dataType.simpleString()
-    return map_batches(slim, rows, f"id {kind}, text string").toDF(id_col, "decoded")
+    return slim.mapInArrow(run, f"id {kind}, text string").toDF(id_col, "decoded")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

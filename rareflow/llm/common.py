@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+class Shared:
+    """A value of bounded size, broadcast with its code, so that executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> Any:
+        """Unpacked anew at each use: once per task."""
+        return cloudpickle.loads(self.sent.value)
+
+
 def map_batches(
     df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 #: Counter-examples from the corpus, variants of each notice, held-out share (one in).
 OTHERS = 4000
 VARIANTS = 60
@@ -168,7 +170,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Classifier:
 
 def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_paragraphs (that read like a notice), licences (confirmed or unknown, sorted), probability (the best)."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    shared = Shared(docs.sparkSession, classifier)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

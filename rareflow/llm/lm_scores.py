@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 VOCABULARY = 1 << 15
 CELLS = 1 << 19
 #: Weight of the bigram estimate; the unigram has the rest.
@@ -104,7 +106,7 @@ def train(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str
     slim = docs.select(text.alias("text"), _half(id_col).alias("half"), F.coalesce(target, F.lit(False)).alias("target"))
     vocabulary = vocabulary_of(slim.select("text"))
     size = len(vocabulary) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = Shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -143,7 +145,7 @@ def train(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, target_loss, background_loss and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = Shared(docs.sparkSession, models)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), _half(id_col).alias("half"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
