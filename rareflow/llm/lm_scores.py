@@ -1,13 +1,15 @@
 """Cross-entropy difference of two n-gram models with one vocabulary.
 
 The target model is counted over the documents of the target set, the background model over all documents.
-Both are bigram models, mixed with their own unigrams, over the same words: the ``VOCABULARY`` most frequent
-of all documents, anything else is the unknown word. A document's score is its loss per word under the target
-less that under the background; the lower, the more it is like the target. Documents fall into two halves by a
-hash of their id, and each is scored by models counted on the other half, so none is scored by its own words.
+Both are bigram models, mixed with their own unigrams, over the same words: every word of all documents, and one
+more for what was never seen. A document's score is its loss per word under the target less that under the
+background; the lower, the more it is like the target. Documents fall into two halves by a hash of their id, and
+each is scored by models counted on the other half, so none is scored by its own words.
 
-Bigrams are counted in ``CELLS`` cells of a hash of the two words, so a model has a fixed size however large the
-corpus; every word of every document is counted. Each task adds up its own cells before the shuffle.
+Words and pairs of words are counted exactly, in tables that grow with the corpus; words stand as hashes of 64
+bits. A task adds up ``PIECE`` words before it sends their pairs. Word counts are joined to the pairs, which gives
+each pair its losses, and those are joined to the pairs of every document. The ``HOT`` pairs and ``HOT_WORDS`` words
+that are most frequent are broadcast instead, so no join has a hot key; all others are looked up in the tables.
 
 Cases: null and empty texts have no words and null losses and score; a null id is in the first half and in no
 target set. Repeated rows are counted as often as they come. Without a target document the target model is
@@ -16,176 +18,220 @@ uniform. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from .common import Shared
 
-VOCABULARY = 1 << 15
-CELLS = 1 << 19
 #: Weight of the bigram estimate; the unigram has the rest.
 BIGRAM = 0.6
 HALVES = 2
-COUNT_EVERY = 1 << 20
-#: Unknown word, and what stands before the first word.
-UNKNOWN = 0
+#: Words whose pairs a task adds up at once, and hashes it remembers.
+PIECE = 1 << 20
+#: Most frequent pairs and words that are broadcast.
+HOT = 1 << 19
+HOT_WORDS = 1 << 16
+#: What stands before the first word.
+START = 0
+#: Columns of counts: half and model (target, background).
+COUNTS = [f"n{half}{model}" for half in range(HALVES) for model in "tb"]
+#: Columns of losses: of documents of the half, under the model.
+LOSSES = [f"l{half}{model}" for half in range(HALVES) for model in "tb"]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def cells_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The cell of each pair of word numbers."""
-    mixed = (before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+class Hashes(dict):
+    """Signed hash of each word, remembered; emptied when large."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= PIECE:
+            self.clear()
+        found = self[word] = (xxhash.xxh64_intdigest(word) or 1) - (1 << 63)
+        return found
 
-def numbered(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    get = vocabulary.get
-    return np.array([get(w, UNKNOWN) for w in words], dtype=np.int64)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((self[w] for w in words), dtype=np.int64, count=len(words))
 
 
-def before(ids: np.ndarray, size: int) -> np.ndarray:
-    """The word before each; the first has the mark ``size``."""
-    return np.r_[size, ids[:-1]]
+def before(ids: np.ndarray) -> np.ndarray:
+    """The word before each; the first has the mark ``START``."""
+    return np.r_[np.int64(START), ids[:-1]]
 
 
-def _half(id_col: str) -> Column:
-    return F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(HALVES)).cast("int")
+def keys_of(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of each pair of hashes."""
+    first = previous.view(np.uint64)
+    return ((first << np.uint64(1)) | (first >> np.uint64(63))).view(np.int64) ^ word
 
 
-def vocabulary_of(texts: DataFrame, most: int = VOCABULARY) -> dict[bytes, int]:
-    """The most frequent words, numbered from 1; lossy counts keep a task's memory bounded."""
+def _key() -> Column:
+    """``keys_of`` the columns before and word."""
+    return F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63)).bitwiseXOR(F.col("word"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        seen, floor, next_cut = 0, 0, COUNT_EVERY
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                counts.update(words)
-                seen += len(words)
-                if seen >= next_cut:
-                    floor, next_cut = floor + 1, seen + COUNT_EVERY
-                    counts = Counter({w: n for w, n in counts.items() if n > floor})
-        kept = [(w, n) for w, n in counts.items() if n > floor]
-        columns = [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["word", "n"])
-
-    counted = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()
-    return {bytes(r.word): i for i, r in enumerate(rows, 1)}
+
+def _half(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(HALVES)).cast("int")
 
 
 @dataclass
 class Models:
-    """Counts of both models: words (half, model, number) and cells (half, model, cell)."""
+    """Losses of all pairs but the hot ones (key and ``LOSSES``); keys, in order, and losses of those."""
 
-    vocabulary: dict[bytes, int]
-    words: np.ndarray
-    cells: np.ndarray
+    table: DataFrame
+    keys: np.ndarray
+    losses: np.ndarray
 
-    @property
-    def size(self) -> int:
-        return len(self.vocabulary) + 1
+
+def pair_counts(slim: DataFrame) -> DataFrame:
+    """before, word and ``COUNTS`` of every pair of words that stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
+        size = 0
+        for batch in batches:
+            for text, half, target in zip(*batch.columns, strict=True):
+                ids = known.of(words_of(text.as_py()))
+                if not len(ids):
+                    continue
+                held.append((before(ids), ids, 2 * half.as_py() + target.as_py() * 4))
+                size += len(ids)
+                if size >= PIECE:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    def out(held: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        previous, word = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        kind = np.repeat([x[2] for x in held], [len(x[1]) for x in held])
+        _, first, place = np.unique(keys_of(previous, word), return_index=True, return_inverse=True)
+        counts = []
+        for half in range(HALVES):
+            own = kind % 4 == 2 * half
+            counts.append(np.bincount(place[own & (kind >= 4)], minlength=len(first)))
+            counts.append(np.bincount(place[own], minlength=len(first)))
+        for start in range(0, len(first), 50_000):
+            at = slice(start, start + 50_000)
+            columns = [pa.array(previous[first[at]]), pa.array(word[first[at]]), *[pa.array(c[at]) for c in counts]]
+            yield pa.RecordBatch.from_arrays(columns, ["before", "word", *COUNTS])
+
+    counted = slim.mapInArrow(run, "before long, word long, " + ", ".join(f"{n} long" for n in COUNTS))
+    return counted.groupBy("before", "word").agg(*[F.sum(n).alias(n) for n in COUNTS])
+
+
+def _least(counts: DataFrame, most: int) -> int:
+    """A count that at most ``most`` rows exceed."""
+    rows = counts.select("n").orderBy(F.desc("n")).limit(most + 1).agg(F.count("n").alias("rows"), F.min("n").alias("n")).first()
+    return rows.n if rows.rows > most else 0
+
+
+def _with_words(pairs: DataFrame, words: DataFrame, least: int, side: str) -> DataFrame:
+    """``pairs`` with the counts of one of their words, named by the side; frequent words are broadcast."""
+    named = words.select(F.col("word").alias(side), *[F.col(n).alias(f"{side}_{n}") for n in COUNTS], "n")
+    hot = F.broadcast(named.filter(F.col("n") > least).drop("n"))
+    rest = named.filter(F.col("n") <= least).drop("n")
+    return pairs.join(hot, side).unionByName(pairs.join(hot.select(side), side, "left_anti").join(rest, side))
 
 
 def train(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """Count both models over all documents; ``target`` is a condition on the rows of ``docs``.
 
-    The vocabulary and the cells, both of fixed size, come to the driver.
+    Totals and the hot pairs, ``HOT`` at most, come to the driver.
     """
     text = F.col(f"`{text_col}`").cast("binary")
     slim = docs.select(text.alias("text"), _half(id_col).alias("half"), F.coalesce(target, F.lit(False)).alias("target"))
-    vocabulary = vocabulary_of(slim.select("text"))
-    size = len(vocabulary) + 1
-    shared = Shared(docs.sparkSession, vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        words = np.zeros((HALVES, 2, size), dtype=np.int64)
-        cells = np.zeros((HALVES, 2, CELLS), dtype=np.int64)
-        for batch in batches:
-            for text, half, target in zip(*batch.columns, strict=True):
-                ids = numbered(words_of(text.as_py()), known)
-                if not len(ids):
-                    continue
-                cell = cells_of(before(ids, size), ids)
-                for model in (0, 1) if target.as_py() else (1,):
-                    np.add.at(words[half.as_py(), model], ids, 1)
-                    np.add.at(cells[half.as_py(), model], cell, 1)
-        for kind, counts in enumerate((words, cells)):
-            flat = counts.reshape(HALVES * 2, -1)
-            place = np.nonzero(flat.any(axis=0))[0]
-            for start in range(0, len(place), 50_000):
-                at = place[start : start + 50_000]
-                columns = [pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *[pa.array(c[at]) for c in flat]]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "place", *[f"n{i}" for i in range(len(flat))]])
-
-    names = [f"n{i}" for i in range(HALVES * 2)]
-    counted = slim.mapInArrow(run, "kind int, place long, " + ", ".join(f"{n} long" for n in names))
-    sums = counted.groupBy("kind", "place").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-    kind, place = sums["kind"].to_numpy(), sums["place"].to_numpy()
-    out = []
-    for i, width in enumerate((size, CELLS)):
-        flat = np.zeros((HALVES * 2, width), dtype=np.int64)
-        own = kind == i
-        for j, name in enumerate(names):
-            flat[j, place[own]] = sums[name].to_numpy()[own]
-        out.append(flat.reshape(HALVES, 2, width))
-    return Models(vocabulary, out[0], out[1])
+    pairs = stage_table(pair_counts(slim), "pairs")
+    sums = [F.sum(n).alias(n) for n in COUNTS]
+    # Each word is the second of one pair.
+    words = stage_table(pairs.groupBy("word").agg(*sums).withColumn("n", sum(F.col(f"n{h}b") for h in range(HALVES))), "words")
+    told = words.agg(F.count(F.lit(1)).alias("size"), *sums).first()
+    size = told["size"] + 1
+    total = {n: told[n] or 0 for n in COUNTS}
+    start = words.sparkSession.range(1).select(F.lit(START).cast("long").alias("word"), *[F.lit(total[n]).cast("long").alias(n) for n in COUNTS], F.lit((1 << 63) - 1).alias("n"))
+    least = _least(words, HOT_WORDS)
+    full = _with_words(_with_words(pairs, words.unionByName(start), least, "before"), words, least, "word")
+
+    def loss(half: int, model: str) -> Column:
+        other = f"n{1 - half}{model}"
+        alone = (F.col(f"word_{other}") + 1.0) / F.lit(float(total[other] + size))
+        seen = F.col(f"before_{other}")
+        together = F.when(seen > 0, F.col(other) / seen).otherwise(alone)
+        return (-F.log(BIGRAM * together + (1 - BIGRAM) * alone)).alias(f"l{half}{model}")
+
+    losses = [loss(half, model) for half in range(HALVES) for model in "tb"]
+    n = sum(F.col(f"n{h}b") for h in range(HALVES)).alias("n")
+    table = stage_table(full.select(_key().alias("key"), n, *losses), "losses")
+    least = _least(table, HOT)
+    hot = table.filter(F.col("n") > least).drop("n").toArrow()
+    keys = hot["key"].to_numpy()
+    order = np.argsort(keys)
+    losses_of = np.stack([hot[c].to_numpy() for c in LOSSES]).reshape(HALVES, 2, -1)[:, :, order]
+    return Models(table.filter(F.col("n") <= least).drop("n"), keys[order], losses_of)
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, target_loss, background_loss and score of every document."""
-    shared = Shared(docs.sparkSession, models)
+    shared = Shared(docs.sparkSession, (models.keys, models.losses))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), _half(id_col).alias("half"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        scorers = [Scorer(own, half) for half in range(HALVES)]
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        """Per text: its name (the last bit is the half), words, sums of the hot pairs' losses, keys of the others."""
+        hot, losses = shared.value
+        known = Hashes()
         for batch in batches:
-            counts, losses = [], []
+            found = []
             for text, half in zip(batch.column(1), batch.column(2), strict=True):
-                ids = numbered(words_of(text.as_py()), own.vocabulary)
-                counts.append(len(ids))
-                losses.append(scorers[half.as_py()].losses(ids) if len(ids) else (None, None))
-            target, background = zip(*losses, strict=True) if losses else ((), ())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "t", "b"])
+                ids = known.of(words_of(text.as_py()))
+                if not len(ids):
+                    found.append((0, 0, 0.0, 0.0, ids))
+                    continue
+                keys = keys_of(before(ids), ids)
+                at = np.searchsorted(hot, keys)
+                met = np.zeros(len(keys), dtype=bool)
+                inside = at < len(hot)
+                met[inside] = hot[at[inside]] == keys[inside]
+                name = (xxhash.xxh64_intdigest(text.as_py()) - (1 << 63)) & ~1 | half.as_py()
+                found.append((name, len(ids), *losses[half.as_py()][:, at[met]].sum(axis=1).tolist(), keys[~met]))
+            yield batch, found
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in looked_up(batches):
+            told = list(zip(*[(*x[:4], len(x[4])) for x in found], strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            columns = [batch.column(0), *[pa.array(x, k) for x, k in zip(told, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "name", "n", "t", "b", "rest"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in looked_up(batches):
+            for start in range(0, len(found), 500):
+                names, keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for name, _, _, _, rest in found[start : start + 500]:
+                    key, n = np.unique(rest, return_counts=True)
+                    names.append(np.full(len(key), name, np.int64))
+                    keys.append(key)
+                    times.append(n)
+                columns = [pa.array(np.concatenate(x)) for x in (names, keys)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(times), pa.int64())], ["name", "key", "times"])
 
     kind = slim.schema["id"].dataType.simpleString()
-    told = slim.mapInArrow(run, f"id {kind}, n long, t double, b double").toDF(id_col, "n_words", "target_loss", "background_loss")
-    return told.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-class Scorer:
-    """Losses of one half's documents under the models of the others."""
-
-    def __init__(self, models: Models, half: int):
-        others = [h for h in range(HALVES) if h != half]
-        self.size = models.size
-        self.words = models.words[others].sum(axis=0)
-        self.cells = models.cells[others].sum(axis=0)
-
-    def losses(self, ids: np.ndarray) -> tuple[float, float]:
-        """Mean negative log probability of a text's words: target, background."""
-        previous = before(ids, self.size)
-        cell = cells_of(previous, ids)
-        found = []
-        for words, cells in zip(self.words, self.cells, strict=True):
-            total = words.sum()
-            alone = (words[ids] + 1.0) / (total + self.size)
-            seen = np.where(previous < self.size, words[np.minimum(previous, self.size - 1)], total)
-            # Cells are shared by pairs, so a pair can have no more than its words.
-            pair = np.minimum(cells[cell], np.minimum(seen, words[ids]))
-            together = np.where(seen > 0, pair / np.maximum(seen, 1), alone)
-            found.append(float(-np.log(BIGRAM * together + (1 - BIGRAM) * alone).mean()))
-        return found[0], found[1]
+    rows = slim.mapInArrow(sums, f"id {kind}, name long, n long, t double, b double, rest long")
+    met = slim.mapInArrow(others, "name long, key long, times long").join(models.table, "key")
+    odd = F.col("name").bitwiseAND(F.lit(1)) == 1
+    own = met.select("name", "times", *[(F.col("times") * F.when(odd, F.col(f"l1{m}")).otherwise(F.col(f"l0{m}"))).alias(m) for m in "tb"])
+    # Rows equal in text add the same sums, so their mean is that of one.
+    mean = own.groupBy("name").agg(*[(F.sum(m) / F.sum("times")).alias(f"rest_{m}") for m in "tb"])
+    told = rows.join(mean, "name", "left")
+    value = lambda m: F.when(F.col("n") > 0, (F.col(m) + F.col("rest") * F.coalesce(f"rest_{m}", F.lit(0.0))) / F.col("n"))
+    out = told.select("id", "n", value("t").alias("t"), value("b").alias("b")).toDF(id_col, "n_words", "target_loss", "background_loss")
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

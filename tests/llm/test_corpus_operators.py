@@ -443,6 +443,39 @@ def test_scores_by_hand(spark):
     assert lm_scores.score(df.limit(0), lm_scores.train(df.limit(0), F.lit(True))).count() == 0
 
 
+def test_scores_of_many_words_and_pairs(spark, monkeypatch):
+    """No word and no pair is lost or merged, however many there are, and whether it is broadcast or joined."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(60_000)}" if rng.random() < 0.7 else f"c{rng.randrange(3)}" for _ in range(900))) for i in range(120)]
+    rows += [(500, rows[1][1]), (501, rows[1][1]), (None, rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    half = {r.doc_id: r.h for r in df.select("doc_id", lm_scores._half("doc_id").alias("h")).collect()}
+    alone, pair = defaultdict(Counter), defaultdict(Counter)
+    for i, t in rows:
+        for model in [1] + [0] * (i is not None and i % 3 == 0):
+            alone[1 - half[i], model].update(t.split())
+            pair[1 - half[i], model].update(zip([None, *t.split()], t.split(), strict=False))
+    total = {k: sum(c.values()) for k, c in alone.items()}
+    size = len({w for _, t in rows for w in t.split()}) + 1
+    assert size > 1 << 15
+    wanted = {}
+    for i, t in rows:
+        words, means = t.split(), []
+        for key in ((half[i], 0), (half[i], 1)):
+            p = [(alone[key][w] + 1) / (total[key] + size) for w in words]
+            seen = [total[key], *[alone[key][w] for w in words[:-1]]]
+            both = [pair[key][ab] / n if n else q for ab, n, q in zip(zip([None, *words], words, strict=False), seen, p, strict=True)]
+            means.append(-sum(math.log(0.6 * b + 0.4 * q) for b, q in zip(both, p, strict=True)) / len(words))
+        wanted[i] = means
+    for hot in (1 << 19, 40):
+        monkeypatch.setattr(lm_scores, "HOT", hot)
+        monkeypatch.setattr(lm_scores, "HOT_WORDS", hot)
+        got = lm_scores.score(df, lm_scores.train(df, F.col("doc_id") % 3 == 0)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert [r.target_loss, r.background_loss] == pytest.approx(wanted[r.doc_id], rel=1e-9)
+
+
 # ------------------------------------------------------------------ tokens
 
 
