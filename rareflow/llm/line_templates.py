@@ -3,7 +3,9 @@
 A line of ``LEAST_TOKENS`` words or more goes to the leaf of its word count and its first ``DEPTH`` words;
 words that carry digits, addresses and the like stand as ``<*>``. In a leaf with more than one line each place
 has its commonest word, or ``<*>`` where none has half of the leaf's lines; lines that agree with this pattern
-in ``SIMILAR`` of their words belong to its template, any other line is its own. A template that stands in two
+in ``SIMILAR`` of their words belong to its template. The others go on: as a leaf of their own if some lines did
+agree, else in one leaf for each commonest (place, word) that its lines share, until no line joins; what is left
+over is its own template. A template that stands in two
 documents or more is dropped everywhere but in the first of them (smallest id), so no text is lost altogether.
 
 Everything that is compared travels as hashes; words are shuffled only for leaves with several lines, and
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -110,36 +113,63 @@ def _words(slim: DataFrame) -> DataFrame:
     return slim.select("text").mapInArrow(run, "leaf long, line long, words string")
 
 
-def templates(occurrences: DataFrame, slim: DataFrame) -> DataFrame:
-    """line, template: for lines that agree with the pattern of their leaf."""
-    lines = occurrences.select("leaf", "line").distinct()
-    shared = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).filter("n_lines > 1")
-    own = stage_table(
-        _words(slim)
-        .join(shared, "leaf")
-        .groupBy("leaf", "line", "n_lines")
-        .agg(F.first("words").alias("words"))
-        .withColumn("words", F.split("words", " ")),
-        "leaf-lines",
-    )
-    counts = (
-        own.select("leaf", "n_lines", F.posexplode("words").alias("place", "word"))
-        .groupBy("leaf", "n_lines", "place", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+def _agreeing(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leaf, line, words and whether the line has the pattern of its leaf, if that has several; counts of the words."""
+    counts = stage_table(
+        rest.select("leaf", F.posexplode("words").alias("place", "word"))
+        .groupBy("leaf", "place", "word")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "leaf-words",
     )
-    best = counts.groupBy("leaf", "n_lines", "place").agg(F.max(F.struct("n", "word")).alias("best"))
+    best = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "word")).alias("best"), F.sum("n").alias("n_lines"))
     word = F.when(F.col("best.n") * 2 >= F.col("n_lines"), F.col("best.word"))
     pattern = (
-        best.select("leaf", F.struct("place", word.alias("word")).alias("at"))
+        best.filter("n_lines > 1")
+        .select("leaf", F.struct("place", word.alias("word")).alias("at"))
         .groupBy("leaf")
         .agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["word"]).alias("pattern"))
     )
     agree = F.size(F.filter(F.zip_with("words", "pattern", lambda a, b: a.eqNullSafe(b)), lambda x: x))
-    return (
-        own.join(pattern, "leaf")
-        .filter(agree >= SIMILAR * F.size("words"))
-        .select("line", F.xxhash64(F.lit("leaf"), "leaf").alias("template"))
+    told = rest.join(pattern, "leaf").select("leaf", "line", "words", (agree >= SIMILAR * F.size("words")).alias("joins"))
+    return stage_table(told, "leaf-rounds"), counts
+
+
+def _next_leaves(told: DataFrame, counts: DataFrame) -> DataFrame:
+    """leaf, line and words of the lines that go on."""
+    left = told.filter("not joins").drop("joins")
+    peeled = told.filter("joins").select("leaf").distinct()
+    again = left.join(peeled, "leaf", "left_semi").select(F.xxhash64("leaf", F.lit("rest")).alias("leaf"), "line", "words")
+    stuck = left.join(peeled, "leaf", "left_anti")
+    # What all lines of the leaf have splits nothing, nor does what one has.
+    sizes = stuck.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"))
+    shared = counts.filter("n > 1").join(sizes, "leaf").filter("n < n_lines").drop("n_lines")
+    held = stuck.select("leaf", "line", F.posexplode("words").alias("place", "word")).join(shared, ["leaf", "place", "word"])
+    split = held.groupBy("line").agg(F.max(F.struct("n", "place", "word")).alias("by"))
+    parts = stuck.join(split, "line").select(F.xxhash64("leaf", "by.place", "by.word").alias("leaf"), "line", "words")
+    return again.unionByName(parts)
+
+
+def templates(occurrences: DataFrame, slim: DataFrame) -> DataFrame:
+    """line, template: for lines that agree with a pattern of their leaf.
+
+    Each round takes lines out or makes one more place of a leaf constant, so the rounds end.
+    """
+    lines = occurrences.select("leaf", "line").distinct()
+    shared = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).filter("n_lines > 1").select("leaf")
+    rest = stage_table(
+        _words(slim)
+        .join(shared, "leaf")
+        .groupBy("leaf", "line")
+        .agg(F.first("words").alias("words"))
+        .withColumn("words", F.split("words", " ")),
+        "leaf-lines",
     )
+    found: list[DataFrame] = []
+    while not found or not rest.isEmpty():
+        told, counts = _agreeing(rest)
+        found.append(told.filter("joins").select("line", F.xxhash64(F.lit("leaf"), "leaf").alias("template")))
+        rest = stage_table(_next_leaves(told, counts), "leaf-lines")
+    return reduce(DataFrame.unionByName, found)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

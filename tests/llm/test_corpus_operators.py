@@ -290,6 +290,20 @@ def test_recurring_lines(spark):
     assert line_templates.drop_recurring(df.limit(0)).count() == 0
 
 
+def test_several_templates_in_a_leaf(spark):
+    """Three templates with free words under one count and first words: each line but the first of its template goes."""
+    ends = ["red gate stays shut until", "cold lake lies deep below", "last train leaves here before"]
+    letters = "abcdefghij"
+    word = lambda k, i: f"{'xyz'[k]}{letters[i // 10]}{letters[i % 10]}"
+    rows = [(40 * k + i, f"all of the {end} {word(k, i)}") for k, end in enumerate(ends) for i in range(40)]
+    # A leaf whose lines have little in common keeps them all.
+    rows += [(500 + i, f"one of these {' '.join(RNG.choice(letters) + RNG.choice(letters) for _ in range(7))}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(df).collect()}
+    assert [i for i in range(120) if not got[i]] == [0, 40, 80]
+    assert not any(got[500 + i] for i in range(30))
+
+
 # ------------------------------------------------------------------ licences
 
 
