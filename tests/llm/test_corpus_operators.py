@@ -24,6 +24,7 @@ from rareflow.llm import (
     mixing,
     neighbours,
     quality_rules,
+    similar,
     simhash,
     warc,
 )
@@ -143,6 +144,28 @@ def test_near_duplicates(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(v) for v in first.values())
 
 
+def test_near_dedup_stage_recall(spark):
+    """Of pairs whose shingles of five words are alike to 0.8 or more nearly all are found, of others none."""
+    rng = random.Random(21)
+    rows, near, far = [], [], []
+    for i in range(300):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        changed = list(words)
+        for at in rng.sample(range(400), rng.randrange(1, 16)):
+            changed[at] = f"v{rng.randrange(5000)}"
+        a, b = ({tuple(x[k : k + 5]) for k in range(396)} for x in (words, changed))
+        (near if len(a & b) >= 0.8 * len(a | b) else far).append(2 * i + 1)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "one  two"), (None, "one two"), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    left = sorted((r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()), key=lambda i: (i is None, i))
+    print(len(near), len(far), len(set(near) - set(left)))
+    assert len(near) > 100 and len(far) > 50
+    assert len(set(near) & set(left)) <= 0.01 * len(near)
+    assert [i for i in left if i not in near] == sorted([*range(0, 600, 2), *far]) + [1000, 1002]
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
 def test_links_of_dense_lists(spark):
     """Many fingerprints around a few centres: every link within two bits is found, no other."""
     rng = np.random.default_rng(1)
