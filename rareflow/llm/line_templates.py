@@ -13,7 +13,8 @@ counted by (leaf, place, word) with partial sums, so neither a leaf nor a line t
 hold is ever gathered. Text moves once, when the dropped lines are taken out.
 
 Cases: null and empty texts have no template and stay as they are, null ids come last in the order, rows equal
-in id and text are one document and are treated alike. Shorter lines are never dropped. An empty table gives an
+in id and text are one document and are treated alike. A shorter line is its own template, by all its words
+(its own words if all are variable), and is dropped from ``SHORT_DOCS`` documents on. An empty table gives an
 empty result. Other columns stay. Words are told apart by ASCII white space, lines by the line feed alone.
 """
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from ..session import stage_table
 
 LEAST_TOKENS = 5
+#: Documents that hold a shorter line before it goes: a few share a short sentence by chance.
+SHORT_DOCS = 20
 DEPTH = 3
 SIMILAR = 0.8
 ANY = b"<*>"
@@ -45,19 +48,22 @@ def masked(line: bytes) -> list[bytes]:
     return words
 
 
-def places(text: bytes | None) -> Iterator[tuple[int, int, list[int], list[bytes]]]:
-    """Leaf, line hash, line numbers and masked words of each distinct line that can be a template."""
-    found: dict[int, tuple[int, list[int], list[bytes]]] = {}
+def places(text: bytes | None) -> Iterator[tuple[int | None, int, list[int], list[bytes]]]:
+    """Leaf (short lines have none), line hash, line numbers and masked words of each distinct line."""
+    found: dict[int, tuple[int | None, list[int], list[bytes]]] = {}
     for number, line in enumerate((text or b"").split(b"\n")):
         words = masked(line)
-        if len(words) < LEAST_TOKENS:
+        if not words:
             continue
+        short = len(words) < LEAST_TOKENS
+        if short and all(w == ANY for w in words):
+            words = line.split()
         name = xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
         if name in found:
             found[name][1].append(number)
         else:
             leaf = xxhash.xxh64_intdigest(b" ".join([b"%d" % len(words), *words[:DEPTH]])) - (1 << 63)
-            found[name] = (leaf, [number], words)
+            found[name] = (None if short else leaf, [number], words)
     for name, (leaf, numbers, words) in found.items():
         yield leaf, name, numbers, words
 
@@ -102,7 +108,8 @@ def _words(slim: DataFrame) -> DataFrame:
                 seen: dict[int, tuple[int, list[bytes]]] = {}
                 for text in whole.column(0).slice(start, 1000):
                     for leaf, line, _, words in places(text.as_py()):
-                        seen.setdefault(line, (leaf, words))
+                        if leaf is not None:
+                            seen.setdefault(line, (leaf, words))
                 columns = [
                     pa.array([leaf for leaf, _ in seen.values()], pa.int64()),
                     pa.array(list(seen), pa.int64()),
@@ -154,7 +161,7 @@ def templates(occurrences: DataFrame, slim: DataFrame) -> DataFrame:
 
     Each round takes lines out or makes one more place of a leaf constant, so the rounds end.
     """
-    lines = occurrences.select("leaf", "line").distinct()
+    lines = occurrences.filter("leaf is not null").select("leaf", "line").distinct()
     shared = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).filter("n_lines > 1").select("leaf")
     rest = stage_table(
         _words(slim)
@@ -178,9 +185,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(_order(id_col, text_col).alias("doc"), text.cast("binary").alias("text"))
     occurrences = stage_table(_occurrences(slim), "line-places")
     merged = stage_table(templates(occurrences, slim), "templates")
-    named = occurrences.join(merged, "line", "left").select("doc", "at", F.coalesce("template", "line").alias("template"))
-    spread = named.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    recurring = spread.filter("first <> last").select("template", "first")
+    named = occurrences.join(merged, "line", "left").select(
+        "doc", "at", F.coalesce("template", "line").alias("template"), F.col("leaf").isNull().alias("short")
+    )
+    spread = named.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("short").alias("short"))
+    # Rows equal in id and text are one document.
+    held = named.filter("short").select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
+    often = held.filter(F.col("n_docs") >= SHORT_DOCS).select("template")
+    recurring = spread.filter("first <> last and not short").select("template", "first")
+    recurring = recurring.unionByName(spread.filter("short").join(often, "template").select("template", "first"))
     gone = named.join(recurring, "template").filter("doc <> first")
     return gone.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("drop"))
 

@@ -327,6 +327,18 @@ def test_several_templates_in_a_leaf(spark):
     assert not any(got[500 + i] for i in range(30))
 
 
+def test_short_lines(spark):
+    """A short line goes once enough documents hold it; lines of numbers alone count by their own words."""
+    rows = [(i, f"All rights reserved.\n{i} left\n{i}\n\nown{i} text") for i in range(40)]
+    rows += [(100 + i, "Seldom said.\nmore") for i in range(line_templates.SHORT_DOCS - 1)] + [(100, "Seldom said.\nmore")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(df).collect()}
+    assert got[0] == rows[0][1]
+    # Words with digits are variable, so 'own1 text' recurs as well.
+    assert all(got[i] == f"{i}\n" for i in range(1, 40))
+    assert all(got[100 + i] == "Seldom said.\nmore" for i in range(line_templates.SHORT_DOCS - 1))
+
+
 # ------------------------------------------------------------------ licences
 
 
