@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, licences, line_templates, lm_scores, mixing, neighbours, quality_rules, simhash, warc
+from . import (
+    bpe,
+    byte_bpe,
+    conversations,
+    html_text,
+    licences,
+    line_templates,
+    lm_scores,
+    mixing,
+    neighbours,
+    quality_rules,
+    simhash,
+    vector_codes,
+    warc,
+)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +168,20 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan(docs, licences.train(docs))
+
+
+@query("op11_vector_codes")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_byte_bpe_encode_decode")
+def op12_byte_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), path)
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(read_table(spark, sf_dir, "conversations"))
+    return conversations.report(conversations.repair(rows))
