@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 #: White space of the word rule, as the inside of a character class and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -53,3 +55,14 @@ def map_batches(
             yield rows(batch)
 
     return df.mapInArrow(run, schema)
+
+
+#: Rows of a table that is broadcast; counted, not estimated.
+SMALL_ROWS = 200_000
+
+
+def joined(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` join ``small``, which is broadcast if it has at most ``SMALL_ROWS`` rows and is shuffled else."""
+    small = stage_table(small, "looked-up")
+    few = small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return rows.join(F.broadcast(small) if few else small.hint("merge"), on, how)

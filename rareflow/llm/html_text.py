@@ -1,19 +1,22 @@
 """Main text of web pages as the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words and tags. A word scores one, or nothing where what encloses it speaks against
-it; a tag costs something. One linear scan finds the contiguous run with the largest sum, which is the content.
-What a tag costs, and how much a tag name or a word of a class, id or role speaks for or against content, is
-learned from labelled pages: those that mark their content themselves (article or main). The weights are log
-odds of words and tags inside and outside the mark, from a sample of at most about ``TRAIN_PAGES`` pages chosen
-by a hash of their id; names whose meaning is fixed keep their sign.
+A page is a sequence of words and tags. A word scores one, less what speaks against it, down to nothing: of the
+elements around it the one with the most evidence against content. A tag costs something. One linear scan finds the
+contiguous run with the largest sum, which is the content region; words in it that score nothing (adverts, forms,
+reader comments inside the region) are left out, as they are no content by the same weights.
 
-In the chosen run, words that something speaks against (navigation, adverts, notices, forms, comments) are
-left out; the rest becomes blocks. White space in a block, after character references are decoded, becomes one
-space; blocks are joined by a line feed. Inline tags separate nothing, ``br`` is a space.
+The weights are learned from labelled pages, those that mark their content themselves (article or main): log odds
+of the words under a tag name, or under a word of a class, id or role, to stand inside the mark, and of each tag.
+They come from a sample of about ``TRAIN_PAGES`` pages chosen by a hash of their id. Names whose meaning is widely
+fixed start from a prior worth ``PRIOR_WORDS`` words of evidence, which data overrules. An element is judged by its
+tag and by the mean of its class, id and role words, so one word among several rarely decides.
+
+The region becomes blocks. White space in a block, after character references are decoded, becomes one space;
+blocks are joined by a line feed. Inline tags separate nothing, ``br`` is a space.
 
 Cases: a null or empty page, or one without a word of content, gives the empty text. Unclosed tags, comments
 and scripts end with the page. Rows with null or repeated ids are pages like any other; an empty table gives an
-empty result; other columns are ignored. Long pages are scanned once, in time linear in their length.
+empty result; other columns are ignored. Pages are parsed and scanned once, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -33,6 +36,14 @@ TRAIN_PAGES = 2000
 #: A name must be seen on so many sample pages to get a weight.
 SEEN = 5
 SMOOTH = 5.0
+#: What the list of names that mark no article says of each, and how many words of evidence that is worth.
+AGAINST_PRIOR = -2.0
+PRIOR_WORDS = 200
+#: A name for elements that are not shown, and what it says.
+HIDDEN = " hidden"
+HIDDEN_WEIGHT = -8.0
+#: Passing into or out of an article costs at least so much.
+MARK_COST = 4.0
 
 # Element names of HTML by their role.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -46,7 +57,7 @@ BLOCKS = set(
 ENDS_P = BLOCKS - {"html", "body", "head"}
 #: Says nothing about content; costs little.
 PLAIN = set("html body div span section font center table tbody thead tfoot tr td th b i em strong u small sub sup code br wbr img hr".split())
-# Names that mark what is not the article.
+# Names that mark what is not the article, as a prior.
 AGAINST = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer aside sidebar form ad ads adv advert adverts"
     " advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
@@ -72,37 +83,68 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
+class Element:
+    """An open element: what its names and those around it say, worked out once."""
+
+    __slots__ = ("tag", "names", "parent", "against", "marked", "soft", "lists")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Element | None, weights: Weights | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.marked = tag in MARKS or (parent is not None and parent.marked)
+        self.soft = tag in FOR or (parent is not None and parent.soft)
+        #: The nearest list or list item, itself included.
+        self.lists = tag if tag in ("li", "ul", "ol", "menu") else parent.lists if parent else ""
+        own = weights.element(names, parent is not None and parent.marked) if weights else 0.0
+        self.against = min(own, parent.against if parent else 0.0)
+
+
 @dataclass
 class Node:
-    """A run of text, or a tag without ``words``; ``held`` names the elements around it."""
+    """A run of text, or a tag without ``words``; ``inside`` is the innermost element around it."""
 
     tag: str = ""
     text: str = ""
     words: int = 0
-    held: tuple[tuple[str, ...], ...] = ()
-    marked: bool = False
+    inside: Element | None = None
+
+    @property
+    def marked(self) -> bool:
+        return self.inside is not None and self.inside.marked
 
 
 @dataclass
 class Weights:
-    """Log odds of names (positive for content), and what tags cost."""
+    """Log odds of names (positive for content) with the words seen, and what tags cost."""
 
-    names: dict[str, float] = field(default_factory=dict)
+    names: dict[str, tuple[float, int]] = field(default_factory=dict)
     costs: dict[str, float] = field(default_factory=dict)
-    outside: float = -2.0
 
     def name(self, name: str, marked: bool) -> float:
+        if name in PLAIN:
+            return 0.0
+        prior = 1.0 if name in FOR else 0.0
         if name in AGAINST or (name in HEADS and not marked):
-            return min(self.names.get(name, -2.0), -2.0)
-        if name in FOR:
-            return max(self.names.get(name, 1.0), 1.0)
-        learned = 0.0 if name in PLAIN or name in HEADS else self.names.get(name, 0.0)
-        return max(learned, -0.5) if name in LISTS else learned
+            prior = AGAINST_PRIOR
+        odds, seen = self.names.get(name, (0.0, 0))
+        value = (odds * seen + prior * PRIOR_WORDS) / (seen + PRIOR_WORDS)
+        if name in HEADS and marked:
+            return max(value, 0.0)
+        return max(value, -0.5) if name in LISTS else value
+
+    def element(self, names: tuple[str, ...], marked: bool) -> float:
+        """What an element's tag says, or the mean of its other names if that is less."""
+        tag, *others = names
+        if tag == "head" or HIDDEN in others:
+            return HIDDEN_WEIGHT
+        said = [self.name(n, marked) for n in others]
+        return min(self.name(tag, marked), sum(said) / len(said) if said else 0.0)
 
     def cost(self, node: Node) -> float:
         """Inside a paragraph or a mark any tag is cheap; there it does not divide content."""
         learned = self.costs.get(node.tag, 0.25)
-        cheap = node.tag in PLAIN or node.tag in FOR or node.marked or any(n[0] in FOR for n in node.held)
+        if node.tag in MARKS:
+            return max(learned, MARK_COST)
+        cheap = node.tag in PLAIN or node.tag in FOR or (node.inside is not None and (node.inside.soft or node.inside.marked))
         return min(learned, 0.05) if cheap else learned
 
 
@@ -112,30 +154,34 @@ def _names(tag: str, rest: str) -> tuple[str, ...]:
     if "=" in rest or "hidden" in rest:
         for key, value in ATTRIBUTE.findall(rest):
             if key.lower() == "hidden":
-                found.append("popup")
+                found.append(HIDDEN)
             else:
                 found += [w.lower() for w in PARTS.findall(value)]
     return tuple(dict.fromkeys(found))
 
 
-def parse(page: str) -> list[Node]:
+def parse(page: str, weights: Weights | None = None) -> list[Node]:
     """Tags and runs of text of a page in order."""
     out: list[Node] = []
-    tags: list[str] = []
-    held: tuple[tuple[str, ...], ...] = ()
-    marks = 0
+    stack: list[Element] = []
+    is_open: Counter[str] = Counter()
     at = 0
 
+    def top() -> Element | None:
+        return stack[-1] if stack else None
+
     def text(upto: int) -> None:
         if upto > at:
             decoded = html.unescape(page[at:upto])
-            out.append(Node(text=decoded, words=len(decoded.split()), held=held, marked=marks > 0))
+            out.append(Node(text=decoded, words=len(decoded.split()), inside=top()))
 
-    def close(depth: int) -> None:
-        nonlocal held, marks
-        marks -= sum(t in MARKS for t in tags[depth:])
-        del tags[depth:]
-        held = held[:depth]
+    def close(tag: str) -> None:
+        """Down to the last open element of this name; each element is closed once."""
+        while stack:
+            gone = stack.pop()
+            is_open[gone.tag] -= 1
+            if gone.tag == tag:
+                break
 
     while at < len(page):
         hit = TOKEN.search(page, at)
@@ -148,70 +194,53 @@ def parse(page: str) -> list[Node]:
             continue
         name = name.lower()
         if hit["end"]:
-            if name in tags:
-                close(len(tags) - 1 - tags[::-1].index(name))
-            out.append(Node(tag=name, held=held, marked=marks > 0))
+            if is_open[name]:
+                close(name)
+            out.append(Node(tag=name, inside=top()))
             continue
         if name in RAW_END and name != "head":
             if not hit["rest"].endswith("/>"):
                 end = RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
-            out.append(Node(tag=name, held=held, marked=marks > 0))
+            out.append(Node(tag=name, inside=top()))
             continue
-        if name in ENDS_P and "p" in tags:
-            close(len(tags) - 1 - tags[::-1].index("p"))
-        if name == "li" and "li" in tags:
-            last = len(tags) - 1 - tags[::-1].index("li")
-            if not {"ul", "ol", "menu"} & set(tags[last:]):
-                close(last)
-        out.append(Node(tag=name, held=held, marked=marks > 0))
+        if name in ENDS_P and is_open["p"]:
+            close("p")
+        if name == "li" and stack and stack[-1].lists == "li":
+            close("li")
+        out.append(Node(tag=name, inside=top()))
         if name not in VOID and not hit["rest"].endswith("/>"):
-            tags.append(name)
-            held = (*held, _names(name, hit["rest"]))
-            marks += name in MARKS
+            stack.append(Element(name, _names(name, hit["rest"]), top(), weights))
+            is_open[name] += 1
     text(len(page))
     return out
 
 
-def against(node: Node, weights: Weights, declared: bool) -> bool:
-    """Whether an enclosing element speaks against the node's words."""
-    if any("head" == names[0] for names in node.held):
-        return True
-    if declared and not node.marked and weights.outside < -1:
-        return True
-    inside = False
-    for names in node.held:
-        if sum(weights.name(n, inside) for n in names) <= -1:
-            return True
-        inside = inside or names[0] in MARKS
-    return False
-
-
-def main_text(page: str | None, weights: Weights) -> str:
-    """The blocks of the best run, joined by line feeds."""
-    nodes = parse(page or "")
-    declared = any(n.words and n.marked for n in nodes)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Begin and end (exclusive) of the contiguous run with the largest positive sum; the first, and its longest."""
     best, best_sum = (0, 0), 0.0
     start, run = 0, 0.0
-    memo: dict[tuple, bool] = {}
-    out = []
-    for i, node in enumerate(nodes):
-        key = (node.held, node.marked)
-        bad = memo.get(key)
-        if bad is None:
-            bad = memo[key] = against(node, weights, declared)
-        out.append(bad)
-        run += -weights.cost(node) if node.tag else 0.0 if bad else float(node.words)
+    for i, value in enumerate(scores):
+        run += value
         if run <= 0:
             start, run = i + 1, 0.0
         elif run > best_sum or (run == best_sum and start == best[0]):
             best, best_sum = (start, i + 1), run
+    return best
+
+
+def main_text(page: str | None, weights: Weights) -> str:
+    """The blocks of the best run, joined by line feeds."""
+    nodes = parse(page or "", weights)
+    # A run of text scores as many times what one of its words does.
+    each = [0.0 if n.tag else max(0.0, 1.0 + (n.inside.against if n.inside else 0.0)) for n in nodes]
+    begin, end = best_run([-weights.cost(n) if n.tag else e * n.words for n, e in zip(nodes, each, strict=True)])
     blocks: list[str] = []
     parts: list[str] = []
-    for i in range(*best):
+    for i in range(begin, end):
         node = nodes[i]
         if not node.tag:
-            parts.append(" " if out[i] else node.text)
+            parts.append(node.text if each[i] > 0 else " ")
         elif node.tag == "br" or node.tag in ("td", "th"):
             parts.append(" ")
         elif node.tag in BLOCKS:
@@ -228,13 +257,52 @@ def _evidence(page: str) -> Iterator[tuple[str, str, bool, int]]:
         return
     names: Counter[tuple[str, bool]] = Counter()
     tags: Counter[tuple[str, bool]] = Counter()
+    words = [0, 0]
+    held: dict[str, tuple[int, int, int]] = {}  # an open name: how often it is open, the words before it
+
+    def enter(element: Element) -> None:
+        for name in element.names:
+            n, *before = held.get(name, (0, *words))
+            held[name] = (n + 1, *before)
+
+    def leave(element: Element) -> None:
+        for name in element.names:
+            n, *before = held[name]
+            held[name] = (n - 1, *before)
+            if n == 1:
+                del held[name]
+                for inside in (False, True):
+                    if words[inside] > before[inside]:
+                        names[name, inside] += words[inside] - before[inside]
+
+    path: list[Element] = []
+    open_now: set[int] = set()
+
+    def move_to(element: Element | None) -> None:
+        """Leave and enter elements until ``element`` is the innermost; each is entered and left once."""
+        fresh = []
+        while element is not None and id(element) not in open_now:
+            fresh.append(element)
+            element = element.parent
+        while path and path[-1] is not element:
+            gone = path.pop()
+            open_now.discard(id(gone))
+            leave(gone)
+        for new in reversed(fresh):
+            path.append(new)
+            open_now.add(id(new))
+            enter(new)
+
     for node in nodes:
         if node.tag:
             tags[node.tag, node.marked] += 1
         elif node.words:
-            for name in {n for own in node.held for n in own}:
-                names[name, node.marked] += node.words
-            names["", node.marked] += node.words
+            move_to(node.inside)
+            words[node.marked] += node.words
+    move_to(None)
+    for inside in (False, True):
+        if words[inside]:
+            names["", inside] = words[inside]
     for (name, inside), n in names.items():
         yield "name", name, inside, n
     for (name, inside), n in tags.items():
@@ -273,7 +341,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     weights = Weights()
     for kind, name, _ in told:
         if kind == "name" and name:
-            weights.names[name] = odds(kind, name)
+            weights.names[name] = odds(kind, name), sum(told.get((kind, name, i), 0) for i in (True, False))
         elif kind == "tag":
             weights.costs[name] = min(4.0, max(0.02, -odds(kind, name)))
     return weights

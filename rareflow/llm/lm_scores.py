@@ -6,10 +6,16 @@ more for what was never seen. A document's score is its loss per word under the
 background; the lower, the more it is like the target. Documents fall into two halves by a hash of their id, and
 each is scored by models counted on the other half, so none is scored by its own words.
 
-Words and pairs of words are counted exactly, in tables that grow with the corpus; words stand as hashes of 64
-bits. A task adds up ``PIECE`` words before it sends their pairs. Word counts are joined to the pairs, which gives
-each pair its losses, and those are joined to the pairs of every document. The ``HOT`` pairs and ``HOT_WORDS`` words
-that are most frequent are broadcast instead, so no join has a hot key; all others are looked up in the tables.
+Words and pairs of words are counted exactly, whatever their number; each stands as a hash of 64 bits. Documents
+are dealt to pieces of about ``PIECE_BYTES``. A piece counts its words and pairs once each and sends them, sorted
+and cut into buckets by their hash, to where all pieces' counts of a bucket are added. A piece gets back only what
+the *other* half of the corpus has of its words and pairs; everything else has count zero there, most pairs among
+them. So texts move once, a pair moves once for each piece that holds it, and nothing is looked up row by row.
+
+Pieces and buckets are as many as the corpus needs. Equal words and pairs are counted within the piece before they
+move, so a word or pair that every document holds costs one entry for each piece. Rows of an id that many rows
+share (over 1/``HOT_SHARE`` of all; fewer than ``HOT_SHARE`` ids, which alone come to the driver) and of null ids
+are dealt by their text instead.
 
 Cases: null and empty texts have no words and null losses and score; a null id is in the first half and in no
 target set. Repeated rows are counted as often as they come. Without a target document the target model is
@@ -18,7 +24,7 @@ uniform. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,24 +32,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..session import stage_table
-from .common import Shared
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Weight of the bigram estimate; the unigram has the rest.
 BIGRAM = 0.6
 HALVES = 2
-#: Words whose pairs a task adds up at once, and hashes it remembers.
-PIECE = 1 << 20
-#: Most frequent pairs and words that are broadcast.
-HOT = 1 << 19
-HOT_WORDS = 1 << 16
+#: Bytes of text in a piece and for each bucket.
+PIECE_BYTES = 6 << 20
+BUCKET_BYTES = 24 << 20
+HOT_SHARE = 1000
 #: What stands before the first word.
 START = 0
-#: Columns of counts: half and model (target, background).
-COUNTS = [f"n{half}{model}" for half in range(HALVES) for model in "tb"]
-#: Columns of losses: of documents of the half, under the model.
-LOSSES = [f"l{half}{model}" for half in range(HALVES) for model in "tb"]
+#: Half and model (0 target, 1 background) of each count.
+KINDS = [(half, model) for half in range(HALVES) for model in range(2)]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -51,187 +53,264 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Hashes(dict):
-    """Signed hash of each word, remembered; emptied when large."""
+    """Hash of each word of a piece."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= PIECE:
-            self.clear()
-        found = self[word] = (xxhash.xxh64_intdigest(word) or 1) - (1 << 63)
+        found = self[word] = xxhash.xxh64_intdigest(word) or 1
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((self[w] for w in words), dtype=np.int64, count=len(words))
+        return np.fromiter((self[w] for w in words), dtype=np.uint64, count=len(words))
 
 
-def before(ids: np.ndarray) -> np.ndarray:
-    """The word before each; the first has the mark ``START``."""
-    return np.r_[np.int64(START), ids[:-1]]
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """The last bit tells words from pairs."""
+    return words & ~np.uint64(1)
 
 
-def keys_of(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of each pair of hashes."""
-    first = previous.view(np.uint64)
-    return ((first << np.uint64(1)) | (first >> np.uint64(63))).view(np.int64) ^ word
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ words
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(29)) | np.uint64(1)
 
 
-def _key() -> Column:
-    """``keys_of`` the columns before and word."""
-    return F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63)).bitwiseXOR(F.col("word"))
+def packed(numbers: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes as the largest needs, compressed; the first byte is their width."""
+    most = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(numbers.astype(f"<u{width}").tobytes(), 1)
 
 
-def _half(id_col: str) -> Column:
-    return F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(HALVES)).cast("int")
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), dtype=f"<u{data[0]}").astype(np.int64)
 
 
-@dataclass
-class Models:
-    """Losses of all pairs but the hot ones (key and ``LOSSES``); keys, in order, and losses of those."""
+class Piece:
+    """Words and pairs of some documents."""
 
-    table: DataFrame
-    keys: np.ndarray
-    losses: np.ndarray
+    def __init__(self, texts: list[bytes | None], halves: list[int], targets: list[bool], buckets: int):
+        known = Hashes()
+        found = [known.of(words_of(t)) for t in texts]
+        self.lengths = np.array([len(x) for x in found], dtype=np.int64)
+        words = np.concatenate([*found, np.zeros(0, np.uint64)])
+        first = np.cumsum(self.lengths) - self.lengths
+        before = np.r_[np.uint64(START), words[:-1]] if len(words) else words
+        self.starts = np.zeros(len(words), dtype=bool)
+        self.starts[first[self.lengths > 0]] = True
+        before = np.where(self.starts, np.uint64(START), before)
+        keys = np.concatenate([word_keys(words), pair_keys(before, words)])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.word, self.pair = at[: len(words)], at[len(words) :]
+        self.before = np.r_[0, self.word[:-1]] if len(words) else self.word
+        self.half = np.repeat(np.array(halves, dtype=np.int64), self.lengths)
+        self.target = np.repeat(np.array(targets, dtype=bool), self.lengths)
+        # Buckets are ranges of the key, so each is one stretch of the sorted keys.
+        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        self.buckets, self.begins = np.unique(bucket.astype(np.int64), return_index=True)
+        self.ends = np.r_[self.begins[1:], len(self.keys)]
+
+    def counts(self) -> np.ndarray:
+        """(kind, key): how often each key stands."""
+        out = []
+        for half, model in KINDS:
+            own = (self.half == half) & (self.target if model == 0 else True)
+            out.append(sum(np.bincount(at[own], minlength=len(self.keys)) for at in (self.word, self.pair)))
+        return np.array(out, dtype=np.int64).reshape(len(KINDS), len(self.keys))
+
+    def asked(self) -> np.ndarray:
+        """Per key: bit h is set if a document of half h holds it."""
+        out = np.zeros(len(self.keys), dtype=np.int64)
+        for half in range(HALVES):
+            own = self.half == half
+            for at in (self.word, self.pair):
+                out[at[own]] |= 1 << half
+        return out
+
+    def losses(self, counts: np.ndarray, totals: np.ndarray, size: int) -> list[tuple[float | None, float | None]]:
+        """Mean loss of each document under the target and the background model of the other half."""
+        sums = []
+        for model in range(2):
+            kind = 2 * (1 - self.half) + model
+            total = totals[kind]
+            alone = (counts[kind, self.word] + 1.0) / (total + size)
+            seen = np.where(self.starts, total, counts[kind, self.before])
+            together = np.where(seen > 0, counts[kind, self.pair] / np.maximum(seen, 1), alone)
+            own = np.r_[0.0, np.cumsum(-np.log(BIGRAM * together + (1 - BIGRAM) * alone))]
+            ends = np.cumsum(self.lengths)
+            sums.append(own[ends] - own[ends - self.lengths])
+        return [
+            (float(t / n), float(b / n)) if n else (None, None)
+            for t, b, n in zip(sums[0], sums[1], self.lengths.tolist(), strict=True)
+        ]
 
 
-def pair_counts(slim: DataFrame) -> DataFrame:
-    """before, word and ``COUNTS`` of every pair of words that stand together."""
+@dataclass
+class Models:
+    """The documents that both models are counted on, and what says which belong to the target set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        held: list[tuple[np.ndarray, np.ndarray, int]] = []
-        size = 0
-        for batch in batches:
-            for text, half, target in zip(*batch.columns, strict=True):
-                ids = known.of(words_of(text.as_py()))
-                if not len(ids):
-                    continue
-                held.append((before(ids), ids, 2 * half.as_py() + target.as_py() * 4))
-                size += len(ids)
-                if size >= PIECE:
-                    yield from out(held)
-                    held, size = [], 0
-        if held:
-            yield from out(held)
-
-    def out(held: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-        previous, word = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        kind = np.repeat([x[2] for x in held], [len(x[1]) for x in held])
-        _, first, place = np.unique(keys_of(previous, word), return_index=True, return_inverse=True)
-        counts = []
-        for half in range(HALVES):
-            own = kind % 4 == 2 * half
-            counts.append(np.bincount(place[own & (kind >= 4)], minlength=len(first)))
-            counts.append(np.bincount(place[own], minlength=len(first)))
-        for start in range(0, len(first), 50_000):
-            at = slice(start, start + 50_000)
-            columns = [pa.array(previous[first[at]]), pa.array(word[first[at]]), *[pa.array(c[at]) for c in counts]]
-            yield pa.RecordBatch.from_arrays(columns, ["before", "word", *COUNTS])
+    They are counted by the job that scores, which sends each piece only the counts it needs.
+    """
 
-    counted = slim.mapInArrow(run, "before long, word long, " + ", ".join(f"{n} long" for n in COUNTS))
-    return counted.groupBy("before", "word").agg(*[F.sum(n).alias(n) for n in COUNTS])
+    docs: DataFrame
+    target: Column | DataFrame
+    id_col: str
+    text_col: str
 
 
-def _least(counts: DataFrame, most: int) -> int:
-    """A count that at most ``most`` rows exceed."""
-    rows = counts.select("n").orderBy(F.desc("n")).limit(most + 1).agg(F.count("n").alias("rows"), F.min("n").alias("n")).first()
-    return rows.n if rows.rows > most else 0
+def train(docs: DataFrame, target: Column | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
+    """``target`` is a condition on the rows of ``docs`` or a table with their ids in its first column."""
+    return Models(docs, target, id_col, text_col)
 
 
-def _with_words(pairs: DataFrame, words: DataFrame, least: int, side: str) -> DataFrame:
-    """``pairs`` with the counts of one of their words, named by the side; frequent words are broadcast."""
-    named = words.select(F.col("word").alias(side), *[F.col(n).alias(f"{side}_{n}") for n in COUNTS], "n")
-    hot = F.broadcast(named.filter(F.col("n") > least).drop("n"))
-    rest = named.filter(F.col("n") <= least).drop("n")
-    return pairs.join(hot, side).unionByName(pairs.join(hot.select(side), side, "left_anti").join(rest, side))
+def _half(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(HALVES)).cast("int")
 
 
-def train(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """Count both models over all documents; ``target`` is a condition on the rows of ``docs``.
+def _dealt(docs: DataFrame, id_col: str, text_col: str, target: Column | DataFrame | None, trains: bool, asks: bool) -> tuple[DataFrame, int]:
+    """piece, id, half, text, target, kind (0 a target id, 1 a document) and the number of bytes.
 
-    Totals and the hot pairs, ``HOT`` at most, come to the driver.
+    ``trains`` and ``asks`` are what the piece is for; they are part of its number, so that pieces differ.
     """
-    text = F.col(f"`{text_col}`").cast("binary")
-    slim = docs.select(text.alias("text"), _half(id_col).alias("half"), F.coalesce(target, F.lit(False)).alias("target"))
-    pairs = stage_table(pair_counts(slim), "pairs")
-    sums = [F.sum(n).alias(n) for n in COUNTS]
-    # Each word is the second of one pair.
-    words = stage_table(pairs.groupBy("word").agg(*sums).withColumn("n", sum(F.col(f"n{h}b") for h in range(HALVES))), "words")
-    told = words.agg(F.count(F.lit(1)).alias("size"), *sums).first()
-    size = told["size"] + 1
-    total = {n: told[n] or 0 for n in COUNTS}
-    start = words.sparkSession.range(1).select(F.lit(START).cast("long").alias("word"), *[F.lit(total[n]).cast("long").alias(n) for n in COUNTS], F.lit((1 << 63) - 1).alias("n"))
-    least = _least(words, HOT_WORDS)
-    full = _with_words(_with_words(pairs, words.unionByName(start), least, "before"), words, least, "word")
-
-    def loss(half: int, model: str) -> Column:
-        other = f"n{1 - half}{model}"
-        alone = (F.col(f"word_{other}") + 1.0) / F.lit(float(total[other] + size))
-        seen = F.col(f"before_{other}")
-        together = F.when(seen > 0, F.col(other) / seen).otherwise(alone)
-        return (-F.log(BIGRAM * together + (1 - BIGRAM) * alone)).alias(f"l{half}{model}")
-
-    losses = [loss(half, model) for half in range(HALVES) for model in "tb"]
-    n = sum(F.col(f"n{h}b") for h in range(HALVES)).alias("n")
-    table = stage_table(full.select(_key().alias("key"), n, *losses), "losses")
-    least = _least(table, HOT)
-    hot = table.filter(F.col("n") > least).drop("n").toArrow()
-    keys = hot["key"].to_numpy()
-    order = np.argsort(keys)
-    losses_of = np.stack([hot[c].to_numpy() for c in LOSSES]).reshape(HALVES, 2, -1)[:, :, order]
-    return Models(table.filter(F.col("n") <= least).drop("n"), keys[order], losses_of)
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary")
+    bytes_, rows = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.count(F.lit(1))).first()
+    pieces = max(1, -(-(bytes_ or 0) // PIECE_BYTES))
+    hot: list = []
+    by_ids = isinstance(target, DataFrame)
+    if rows:
+        often = docs.select(ident.alias("id")).groupBy("id").count().filter(F.col("count") > max(1000, rows // HOT_SHARE))
+        hot = [r.id for r in often.filter("id is not null").collect()]
+    spread = ident.isNull()
+    if hot:
+        spread = spread | ident.isin(hot)
+    # Equal rows of different parts of the table part, too.
+    place = F.when(spread, F.xxhash64(ident, text, F.spark_partition_id())).otherwise(F.xxhash64(ident))
+    place = F.pmod(place, F.lit(pieces)) * 4 + F.lit(2 * trains + asks)
+    own = F.lit(False) if target is None or by_ids else F.coalesce(target, F.lit(False))
+    if by_ids:
+        ids = target.select(F.col(target.columns[0]).cast(docs.schema[id_col].dataType).alias("id")).filter("id is not null").distinct()
+        if hot:
+            own = ident.isin([r.id for r in ids.filter(F.col("id").isin(hot)).collect()])
+    slim = docs.select(
+        place.alias("piece"), ident.alias("id"), _half(id_col).alias("half"), text.alias("text"), F.coalesce(own, F.lit(False)).alias("target"), F.lit(1).alias("kind")
+    )
+    if by_ids:
+        places = F.pmod(F.xxhash64("id"), F.lit(pieces)) * 4 + F.lit(2 * trains + asks)
+        none = F.lit(None).cast("binary")
+        slim = slim.unionByName(ids.select(places.alias("piece"), "id", F.lit(0).alias("half"), none.alias("text"), F.lit(True).alias("target"), F.lit(0).alias("kind")))
+    return slim, bytes_ or 0
+
+
+def _piece(table: pa.Table, buckets: int) -> tuple[Piece, pa.Table]:
+    """A piece's documents, in an order that does not depend on how they came, and their words."""
+    kinds = table.column("kind").to_numpy()
+    listed = set(table.column("id").filter(pa.array(kinds == 0)).to_pylist())
+    docs = table.filter(pa.array(kinds == 1))
+    targets = [t or (i is not None and i in listed) for i, t in zip(docs.column("id").to_pylist(), docs.column("target").to_pylist(), strict=True)]
+    return Piece(docs.column("text").to_pylist(), docs.column("half").to_pylist(), targets, buckets), docs
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+#: A piece's keys of a bucket with counts by kind, or with the halves that ask for them.
+_SENT = "bucket long, piece long, keys binary, counts binary, asked binary, asks boolean"
+#: Steps between the places of keys that the other half has, and their counts; or sums of a bucket.
+_ANSWER = "piece long, at binary, counts binary, bucket long, size long, totals array<long>"
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, target_loss, background_loss and score of every document."""
-    shared = Shared(docs.sparkSession, (models.keys, models.losses))
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), _half(id_col).alias("half"))
+    same = docs is models.docs and (id_col, text_col) == (models.id_col, models.text_col)
+    slim, size = _dealt(models.docs, models.id_col, models.text_col, models.target, True, same)
+    wanted = slim
+    if not same:
+        wanted, _ = _dealt(docs, id_col, text_col, None, False, True)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+
+    sent_arrow, answer_arrow = _arrow(_SENT), _arrow(_ANSWER)
+
+    def sent(trains: bool, asks: bool):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            piece, _ = _piece(table, buckets)
+            counts, asked = piece.counts(), piece.asked()
+            rows = []
+            for bucket, a, b in zip(piece.buckets.tolist(), piece.begins.tolist(), piece.ends.tolist(), strict=True):
+                rows.append(
+                    {
+                        "bucket": bucket,
+                        "piece": key[0].as_py(),
+                        "keys": piece.keys[a:b].tobytes(),
+                        "counts": packed(counts[:, a:b].ravel()) if trains else None,
+                        "asked": packed(asked[a:b]) if asks and not trains else None,
+                        "asks": asks,
+                    }
+                )
+            return pa.Table.from_pylist(rows, sent_arrow)
+
+        return run
+
+    requests = slim.groupBy("piece").applyInArrow(sent(True, same), _SENT)
+    if not same:
+        requests = requests.unionByName(wanted.groupBy("piece").applyInArrow(sent(False, True), _SENT))
+
+    def answered(key: tuple, table: pa.Table) -> pa.Table:
+        own = [np.frombuffer(k, dtype="<u8") for k in table.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(own), return_inverse=True)
+        ends = np.cumsum([len(k) for k in own])
+        places = np.split(at, ends[:-1])
+        total = np.zeros((len(KINDS), len(keys)), dtype=np.int64)
+        given = [unpacked(c).reshape(len(KINDS), -1) if c is not None else None for c in table.column("counts").to_pylist()]
+        for place, counts in zip(places, given, strict=True):
+            if counts is not None:
+                total[:, place] += counts
+        words = (keys & np.uint64(1)) == 0
+        trained = total[1::2].sum(axis=0) > 0
+        bucket = key[0].as_py()
+        # One row with the bucket's sums; its piece is no document's.
+        rows = [{"piece": -1 - bucket, "at": None, "counts": None, "bucket": bucket, "size": int((words & trained).sum()), "totals": total[:, words].sum(axis=1).tolist()}]
+        rest = zip(places, given, table.column("asked").to_pylist(), table.column("piece").to_pylist(), table.column("asks").to_pylist(), strict=True)
+        for place, counts, asked, piece, asks in rest:
+            if not asks:
+                continue
+            halves = (counts[1] > 0) + 2 * (counts[3] > 0) if counts is not None else unpacked(asked)
+            here = total[:, place]
+            # Documents of one half need the counts of the other; what is zero there is not sent.
+            needed = ((halves & 1 > 0) & (here[3] > 0)) | ((halves & 2 > 0) & (here[1] > 0))
+            found = np.flatnonzero(needed)
+            rows.append(
+                {"piece": piece, "at": packed(np.diff(found, prepend=0)), "counts": packed(here[:, found].ravel()), "bucket": bucket, "size": 0, "totals": [0] * len(KINDS)}
+            )
+        return pa.Table.from_pylist(rows, answer_arrow)
+
+    answers = requests.groupBy("bucket").applyInArrow(answered, _ANSWER).repartition("piece")
+    # Every column is read here, so that this exchange is the one that the documents meet.
+    sums = answers.agg(
+        F.sum("size").alias("all_size"),
+        F.array(*[F.sum(F.col("totals")[i]) for i in range(len(KINDS))]).alias("all_totals"),
+        F.count(F.struct("at", "counts", "bucket")).alias("n_answers"),
+    )
+    told = answers.crossJoin(F.broadcast(sums))
+    kind = wanted.schema["id"].dataType
+
+    def scored(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return out_schema.empty_table()
+        piece, documents = _piece(table, buckets)
+        counts = np.zeros((len(KINDS), len(piece.keys)), dtype=np.int64)
+        begins = dict(zip(piece.buckets.tolist(), piece.begins.tolist(), strict=True))
+        for row in own.select(["bucket", "at", "counts"]).to_pylist():
+            counts[:, begins[row["bucket"]] + np.cumsum(unpacked(row["at"]))] = unpacked(row["counts"]).reshape(len(KINDS), -1)
+        totals, size = np.zeros(len(KINDS)), 1
+        if own.num_rows:
+            totals, size = np.array(own.column("all_totals")[0].as_py(), dtype=float), own.column("all_size")[0].as_py() + 1
+        losses = piece.losses(counts, totals, size)
+        score = [None if t is None else t - b for t, b in losses]
+        columns = [documents.column("id").combine_chunks(), pa.array(piece.lengths), *(pa.array([x[i] for x in losses], pa.float64()) for i in (0, 1)), pa.array(score, pa.float64())]
+        return pa.Table.from_arrays(columns, schema=out_schema)
+
+    schema = f"id {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double"
+    out_schema = _arrow(schema)
+    met = wanted.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(scored, schema)
+    return met.withColumnRenamed("id", id_col)
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-        """Per text: its name (the last bit is the half), words, sums of the hot pairs' losses, keys of the others."""
-        hot, losses = shared.value
-        known = Hashes()
-        for batch in batches:
-            found = []
-            for text, half in zip(batch.column(1), batch.column(2), strict=True):
-                ids = known.of(words_of(text.as_py()))
-                if not len(ids):
-                    found.append((0, 0, 0.0, 0.0, ids))
-                    continue
-                keys = keys_of(before(ids), ids)
-                at = np.searchsorted(hot, keys)
-                met = np.zeros(len(keys), dtype=bool)
-                inside = at < len(hot)
-                met[inside] = hot[at[inside]] == keys[inside]
-                name = (xxhash.xxh64_intdigest(text.as_py()) - (1 << 63)) & ~1 | half.as_py()
-                found.append((name, len(ids), *losses[half.as_py()][:, at[met]].sum(axis=1).tolist(), keys[~met]))
-            yield batch, found
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in looked_up(batches):
-            told = list(zip(*[(*x[:4], len(x[4])) for x in found], strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            columns = [batch.column(0), *[pa.array(x, k) for x, k in zip(told, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "name", "n", "t", "b", "rest"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in looked_up(batches):
-            for start in range(0, len(found), 500):
-                names, keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for name, _, _, _, rest in found[start : start + 500]:
-                    key, n = np.unique(rest, return_counts=True)
-                    names.append(np.full(len(key), name, np.int64))
-                    keys.append(key)
-                    times.append(n)
-                columns = [pa.array(np.concatenate(x)) for x in (names, keys)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(times), pa.int64())], ["name", "key", "times"])
-
-    kind = slim.schema["id"].dataType.simpleString()
-    rows = slim.mapInArrow(sums, f"id {kind}, name long, n long, t double, b double, rest long")
-    met = slim.mapInArrow(others, "name long, key long, times long").join(models.table, "key")
-    odd = F.col("name").bitwiseAND(F.lit(1)) == 1
-    own = met.select("name", "times", *[(F.col("times") * F.when(odd, F.col(f"l1{m}")).otherwise(F.col(f"l0{m}"))).alias(m) for m in "tb"])
-    # Rows equal in text add the same sums, so their mean is that of one.
-    mean = own.groupBy("name").agg(*[(F.sum(m) / F.sum("times")).alias(f"rest_{m}") for m in "tb"])
-    told = rows.join(mean, "name", "left")
-    value = lambda m: F.when(F.col("n") > 0, (F.col(m) + F.col("rest") * F.coalesce(f"rest_{m}", F.lit(0.0))) / F.col("n"))
-    out = told.select("id", "n", value("t").alias("t"), value("b").alias("b")).toDF(id_col, "n_words", "target_loss", "background_loss")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -159,8 +159,7 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # Labels grow with the documents, so they are never broadcast, whatever their size today.
-    models = lm_scores.train(docs.join(labels.hint("merge"), "doc_id", "left"), F.col("quality") == 1)
+    models = lm_scores.train(docs, labels.filter("quality = 1").select("doc_id"))
     return lm_scores.score(docs, models)
 
 

@@ -3,11 +3,11 @@
 Two fingerprints of 64 bits that differ in at most ``MAX_BITS`` = 2 bits agree in at least six of
 their eight bytes, place by place. The index posts each *distinct* fingerprint under its positional
 bytes. A list for one positional byte would hold 1/256 of all fingerprints and meet quadratically many
-others, so a posting names six places and their bytes: two fingerprints share such a list exactly if
-their tally of shared positional bytes reaches the guaranteed minimum of six. Within a list only the two
-other bytes are free, so a list has at most 65,536 members however many documents there are. A list
-tallies these two (6, 7 or 8 shared) and verifies the differing bits, then reports a star per linked
-group, one row for each member: no pair of a large group is ever written out.
+others, so a posting names six places and their bytes, and the key stands for the tally of shared bytes:
+two fingerprints are in such a list together exactly if that tally reaches the guaranteed minimum of six.
+Within a list only the two other bytes are free, so it has at most 65,536 members however many documents
+there are. A list verifies which members differ in so few bits, then reports a star per linked group, one
+row for each member: no pair of a large group is ever written out.
 
 Cases: texts of one or two words are one shingle; texts without a word (null, empty, white space) have
 fingerprint zero and are linked like any other. Rows with a null id get a fingerprint and a component;
@@ -183,8 +183,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = F.struct(
         ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(ident, text).alias("hash")
     )
-    rows, rooted = _numbered(docs.select(order.alias("_order"), text.alias("_text")), "_order", "_text")
-    best = rooted.groupBy("root").agg(F.min("first").alias("_order")).select("_order")
-    hit = docs.withColumn("_order", order).join(best, "_order", "left_semi")
-    again = Window.partitionBy("_order").orderBy(F.lit(0))
-    return hit.withColumn("_nth", F.row_number().over(again)).filter("_nth = 1").drop("_order", "_nth")
+    _, rooted = _numbered(docs.select(order.alias("order"), text.alias("text")), "order", "text")
+    best = rooted.groupBy("root").agg(F.min("first").alias("order")).select("order")
+    # The row travels as one value, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order.alias("order"))
+    once = rows.withColumn("nth", F.row_number().over(Window.partitionBy("order").orderBy(F.lit(0)))).filter("nth = 1")
+    return once.join(best, "order", "left_semi").select("row.*")
