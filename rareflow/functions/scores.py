@@ -56,8 +56,30 @@ def cross_entropy(label: Column, probability: Column, eps: float = 1e-7) -> Colu
     return -(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))
 
 
+def focal_loss(margin: Column, label: Column, gamma: float, alpha: float) -> Column:
+    """-a (1 - pt)^gamma ln(pt), pt the probability of the row's own class, a its class weight."""
+    _, pt, weight = _focal_terms(margin, label, alpha)
+    return -weight * F.pow(1.0 - pt, F.lit(gamma)) * F.log(pt)
+
+
+def focal_slope(margin: Column, label: Column, gamma: float, alpha: float) -> Column:
+    """The derivative of ``focal_loss`` in the margin: +-a (1 - pt)^gamma (gamma pt ln(pt) - (1 - pt))."""
+    _, pt, weight = _focal_terms(margin, label, alpha)
+    towards = F.when(label == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return towards * weight * F.pow(1.0 - pt, F.lit(gamma)) * (gamma * pt * F.log(pt) - (1.0 - pt))
+
+
+def focal_bend(margin: Column, label: Column, gamma: float, alpha: float) -> Column:
+    """The second derivative, held above a tenth of the curvature of the weighted log loss, as it can be negative."""
+    _, pt, weight = _focal_terms(margin, label, alpha)
+    rest = 1.0 - pt
+    inner = -gamma * F.pow(rest, F.lit(gamma - 1.0)) * (gamma * pt * F.log(pt) - rest)
+    outer = F.pow(rest, F.lit(gamma)) * (gamma * F.log(pt) + gamma + 1.0)
+    return F.greatest(weight * (inner + outer) * pt * rest, 0.1 * weight * pt * rest, F.lit(1e-6))
+
+
 def focal_gradient(margin: Column, label: Column, gamma: float, alpha: float) -> Column:
-    """First derivative of the focal loss in the margin."""
+    """Gradient of the scripted focal objectives (fixed formula: scores must equal theirs)."""
     p, pt, weight = _focal_terms(margin, label, alpha)
     y = label.cast("double")
     modulation = F.pow(1.0 - pt, F.lit(gamma))
@@ -66,7 +88,7 @@ def focal_gradient(margin: Column, label: Column, gamma: float, alpha: float) ->
 
 
 def focal_hessian(margin: Column, label: Column, gamma: float, alpha: float) -> Column:
-    """Positive curvature surrogate of the focal loss, never below 1e-6."""
+    """Their positive curvature surrogate, never below 1e-6 (fixed formula)."""
     p, pt, weight = _focal_terms(margin, label, alpha)
     modulation = F.pow(1.0 - pt, F.lit(gamma))
     curvature = modulation * p * (1.0 - p) * (1.0 + gamma * pt)

@@ -11,11 +11,11 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
     GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
@@ -23,17 +23,18 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..schema import LABEL
-from ..session import shared_dir, spread, stage_table
+from ..session import drop_stage, spread, stage_table
 from ..sources.textfiles import read_text, write_text
-from .encoders import FittedStandardizer, Standardizer
+from . import boosting
+from .encoders import FittedStandardizer, Standardizer, periodic_features, periodic_frequencies
 from .latent import assemble, balanced_copies
 from .metrics import with_balanced_weight, with_imbalance_weight
 
@@ -74,9 +75,10 @@ class MLScorer(Scorer):
 
     model: object = None
     scaler: FittedStandardizer | None = None
+    frequencies: list[list[float]] = field(default_factory=list)
 
     def with_score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        rows = _model_input(df, self.columns, self.scaler)
+        rows = _model_input(df, self.columns, self.scaler, self.frequencies)
         self.model.setFeaturesCol("_x").setPredictionCol("").setRawPredictionCol("")
         scored = self.model.setProbabilityCol("_prob").transform(rows)
         return scored.select(*df.columns, vector_to_array("_prob")[1].alias(out))
@@ -88,16 +90,23 @@ class MLScorer(Scorer):
             "class": type(self.model).__name__,
             "columns": self.columns,
             "moments": self.scaler.moments if self.scaler else None,
+            "frequencies": self.frequencies,
         }
         write_text(spark, f"{path}/scorer.json", json.dumps(state))
 
 
-def _model_input(df: DataFrame, columns: list[str], scaler: FittedStandardizer | None) -> DataFrame:
-    """Vector of the (scaled) inputs next to all columns of ``df``."""
+def _model_input(
+    df: DataFrame, columns: list[str], scaler: FittedStandardizer | None, frequencies: list[list[float]] = ()
+) -> DataFrame:
+    """Vector of the (scaled) inputs, and of their sines and cosines if any, next to all columns of ``df``."""
     if scaler is None:
         return assemble(df, columns, "_x")
-    scaled = df.select("*", *[scaler.value(c).alias(f"_z_{i}") for i, c in enumerate(columns)])
-    return assemble(scaled, [f"_z_{i}" for i in range(len(columns))], "_x")
+    names = [f"_z_{i}" for i in range(len(columns))]
+    scaled = df.select("*", *[scaler.value(c).alias(n) for c, n in zip(columns, names)])
+    if frequencies:
+        scaled = scaled.select("*", *periodic_features(names, frequencies))
+        names += [f"{n}_{part}_{i}" for n, row in zip(list(names), frequencies) for i in range(len(row)) for part in ("sin", "cos")]
+    return assemble(scaled, names, "_x")
 
 
 @dataclass
@@ -210,7 +219,7 @@ def load_scorer(spark, path: str) -> Scorer:
         scaler = FittedStandardizer({c: tuple(m) for c, m in state["moments"].items()})
     kind = state["kind"]
     if kind == "ml":
-        return MLScorer(columns, _ML_MODELS[state["class"]].load(f"{path}/model"), scaler)
+        return MLScorer(columns, _ML_MODELS[state["class"]].load(f"{path}/model"), scaler, state.get("frequencies", []))
     if kind == "boosted":
         return BoostedScorer(columns, GBTRegressionModel.load(f"{path}/model"), state["init"])
     if kind == "voting":
@@ -265,32 +274,38 @@ def _bins(params: dict) -> int:
     return int(params.get("max_bins", MAX_BINS))
 
 
+def _boosted(train, columns, label, params, seed, loss, weighting, guarded=False) -> Scorer:
+    rows = _training_rows(train, columns, label, weighting)
+    model, init = boosting.boost(
+        rows,
+        loss,
+        rounds=int(params.get("n_estimators", params.get("iterations", 100))),
+        rate=float(params["learning_rate"]),
+        depth=_depth(params),
+        bins=_bins(params),
+        penalty=float(params.get("reg_lambda", params.get("l2_leaf_reg", 0.0))),
+        min_rows=int(params.get("min_child_samples", 1)),
+        min_bend=float(params.get("min_child_weight", 0.0)),
+        row_share=float(params.get("subsample", 1.0)),
+        column_share=float(params.get("colsample_bytree", 1.0)),
+        guarded=guarded,
+        stage_every=int(params.get("stage_every", boosting.STAGE_EVERY)),
+        seed=seed,
+    )
+    return BoostedScorer(columns, model, init)
+
+
 def fit_gradient_boosting(weighting: str) -> Callable:
+    """Newton boosting of the weighted log loss."""
+
     def fit(train, columns, label, params, seed) -> Scorer:
-        shared_dir(train.sparkSession)
-        booster = GBTClassifier(
-            featuresCol="_x",
-            labelCol="_y",
-            weightCol="_w",
-            maxIter=int(params.get("n_estimators", params.get("iterations", 100))),
-            stepSize=float(params["learning_rate"]),
-            maxDepth=_depth(params),
-            maxBins=_bins(params),
-            minInstancesPerNode=int(
-                params.get("min_child_samples", params.get("min_child_weight", 1))
-            ),
-            subsamplingRate=float(params.get("subsample", 1.0)),
-            featureSubsetStrategy=str(params.get("colsample_bytree", "all")),
-            checkpointInterval=STAGE_EVERY,
-            seed=seed,
-        )
-        return MLScorer(columns, booster.fit(_training_rows(train, columns, label, weighting)))
+        return _boosted(train, columns, label, params, seed, boosting.log_loss(), weighting)
 
     return fit
 
 
-def fit_forest(train, columns, label, params, seed) -> Scorer:
-    forest = RandomForestClassifier(
+def _forest(rows: DataFrame, params: dict, seed: int) -> RandomForestClassificationModel:
+    return RandomForestClassifier(
         featuresCol="_x",
         labelCol="_y",
         weightCol="_w",
@@ -299,8 +314,11 @@ def fit_forest(train, columns, label, params, seed) -> Scorer:
         maxBins=_bins(params),
         minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
         seed=seed,
-    )
-    return MLScorer(columns, forest.fit(_training_rows(train, columns, label, "balanced")))
+    ).fit(rows)
+
+
+def fit_forest(train, columns, label, params, seed) -> Scorer:
+    return MLScorer(columns, _forest(_training_rows(train, columns, label, "balanced"), params, seed))
 
 
 def fit_logistic(train, columns, label, params, seed) -> Scorer:
@@ -323,8 +341,10 @@ def fit_logistic(train, columns, label, params, seed) -> Scorer:
 
 def fit_network(train, columns, label, params, seed) -> Scorer:
     scaler = Standardizer().fit(train, columns)
-    rows = _model_input(train, columns, scaler).select("_x", F.col(label).cast("double").alias("_y"))
-    layers = [len(columns), int(params["hidden1"]), int(params["hidden2"]), int(params["hidden3"]), 2]
+    periodic = int(params.get("periodic", 0))
+    frequencies = periodic_frequencies(len(columns), periodic, seed=seed) if periodic else []
+    rows = _model_input(train, columns, scaler, frequencies).select("_x", F.col(label).cast("double").alias("_y"))
+    layers = [len(columns) * (1 + 2 * periodic), int(params["hidden1"]), int(params["hidden2"]), int(params["hidden3"]), 2]
     net = MultilayerPerceptronClassifier(
         featuresCol="_x",
         labelCol="_y",
@@ -332,59 +352,18 @@ def fit_network(train, columns, label, params, seed) -> Scorer:
         maxIter=int(params["max_iter"]),
         seed=seed,
     ).fit(balanced_copies(rows, "_y"))
-    return MLScorer(columns, net, scaler)
+    return MLScorer(columns, net, scaler, frequencies)
 
 
-def fit_focal_boosting(train, columns, label, params, seed) -> Scorer:
-    """Newton boosting of the focal loss with regression trees.
-
-    A tree fitted to -g/h with row weight h has the Newton step -sum(g)/sum(h) in
-    every leaf. The margins live in a table that is rewritten every few rounds, so
-    neither lineage nor plan grows with the number of rounds.
-    """
-    gamma, alpha = float(params["gamma"]), float(params["alpha"])
-    rate = float(params["learning_rate"])
-    rows = _training_rows(train, columns, label, None).select("_x", "_y")
-    prior = min(max(rows.agg(F.avg("_y")).first()[0], 1e-6), 1 - 1e-6)
-    init = math.log(prior / (1.0 - prior))
-    state = stage_table(rows.withColumn("_m", F.lit(init)), "boost")
-    learner = DecisionTreeRegressor(
-        featuresCol="_x",
-        labelCol="_target",
-        weightCol="_h",
-        maxDepth=_depth(params),
-        maxBins=_bins(params),
-        minInstancesPerNode=int(params.get("min_child_samples", 1)),
-        seed=seed,
-    )
-    trees = []
-    rounds = int(params.get("n_estimators", params.get("iterations", 100)))
-    for done in range(1, rounds + 1):
-        slope = scores.focal_gradient(F.col("_m"), F.col("_y"), gamma, alpha)
-        bend = scores.focal_hessian(F.col("_m"), F.col("_y"), gamma, alpha)
-        target = state.withColumn("_h", bend).withColumn("_target", -slope / F.col("_h"))
-        tree = learner.fit(target)
-        trees.append(tree)
-        if done == rounds:
-            break
-        step = tree.setFeaturesCol("_x").setPredictionCol("_step").transform(state)
-        state = step.withColumn("_m", F.col("_m") + F.lit(rate) * F.col("_step")).drop("_step")
-        if done % STAGE_EVERY == 0:
-            state = stage_table(state, "boost")
-    return BoostedScorer(columns, _sum_of_trees(train.sparkSession, trees, rate), init)
+def fit_focal_boosting(exact: bool) -> Callable:
+    """Newton boosting of the focal loss: by its own derivative, or by the scripted objectives' formulas."""
 
+    def fit(train, columns, label, params, seed) -> Scorer:
+        made = boosting.focal_exact if exact else boosting.focal_terms
+        loss = made(float(params["gamma"]), float(params["alpha"]))
+        return _boosted(train, columns, label, params, seed, loss, None, guarded=exact)
 
-def _sum_of_trees(spark, trees: list, weight: float) -> GBTRegressionModel:
-    """Spark's own tree ensemble over already fitted trees: one expression, one save."""
-    gateway = spark.sparkContext._gateway
-    regression = gateway.jvm.org.apache.spark.ml.regression
-    members = gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
-    weights = gateway.new_array(gateway.jvm.double, len(trees))
-    for i, tree in enumerate(trees):
-        members[i] = tree._java_obj
-        weights[i] = weight
-    uid = f"newton_{trees[0].uid}"
-    return GBTRegressionModel(regression.GBTRegressionModel(uid, members, weights))
+    return fit
 
 
 def fit_adaboost(train, columns, label, params, seed) -> Scorer:
@@ -437,38 +416,85 @@ def positive_cluster(rates: DataFrame, cluster: str) -> int:
 
 def fit_clusters(train, columns, label, params, seed) -> Scorer:
     scaler = Standardizer().fit(train, columns)
-    rows = _model_input(train, columns, scaler).select("_x", F.col(label).alias("_y"))
-    rows = stage_table(rows, "cluster")
     if params["algo"] == "gmm":
+        rows = stage_table(_model_input(train, columns, scaler).select("_x", F.col(label).alias("_y")), "cluster")
         model = GaussianMixture(featuresCol="_x", k=2, seed=seed).fit(rows)
         assigned = model.setPredictionCol("_c").transform(rows)
         return MixtureScorer(
             columns, model, scaler, positive_cluster(align_clusters(assigned, "_c", "_y"), "_c")
         )
-    starts = [
-        KMeans(featuresCol="_x", k=2, seed=seed + i).fit(rows) for i in range(int(params["n_init"]))
-    ]
-    best = min(starts, key=lambda m: m.summary.trainingCost)
-    assigned = best.setPredictionCol("_c").transform(rows)
-    positive = positive_cluster(align_clusters(assigned, "_c", "_y"), "_c")
-    centres = [c.tolist() for c in best.clusterCenters()]
-    if len(centres) == 1:
-        centres = centres * 2
+    scaled = stage_table(train.select(F.col(label).alias("_y"), *[scaler.value(c).alias(f"_z{i}") for i, c in enumerate(columns)]), "cluster")
+    centres = two_means(scaled, [f"_z{i}" for i in range(len(columns))], int(params["n_init"]), seed)
+    code = F.when(_square(columns, centres[1]) < _square(columns, centres[0]), 1).otherwise(0)
+    positive = positive_cluster(align_clusters(scaled.select(code.alias("_c"), "_y"), "_c", "_y"), "_c")
+    drop_stage(scaled)
     return CentreScorer(columns, scaler, centres, positive)
 
 
+def _square(columns: list, centre: list[float]) -> Column:
+    """Squared distance of the scaled row from a centre."""
+    return sum(((F.col(f"_z{i}") - F.lit(float(m))) ** 2 for i, m in enumerate(centre)), F.lit(0.0))
+
+
+def two_means(rows: DataFrame, names: list[str], restarts: int, seed: int, max_iter: int = 20, tol: float = 1e-4) -> list[list[float]]:
+    """The two centres of the cheapest of several k-means runs (Lloyd), all runs in the same passes.
+
+    Sums are keyed by (run, centre), so a pass sends two rows per run and task whatever the number of rows. A run
+    starts from two rows chosen by a hash of their values, so it does not depend on how the rows are dealt.
+    """
+    point = F.array(*names)
+    firsts = [F.min_by(point, F.xxhash64(*names, F.lit(seed + r), F.lit(j))).alias(f"c{r}_{j}") for r in range(restarts) for j in range(2)]
+    told = rows.agg(*firsts).first()
+    origin = [0.0] * len(names)
+    centres = [[list(told[f"c{r}_{j}"] or origin) for j in range(2)] for r in range(restarts)]
+
+    def summed() -> dict[tuple[int, int], dict]:
+        runs = []
+        for r, (a, b) in enumerate(centres):
+            near, far = _square(names, a), _square(names, b)
+            runs.append(F.struct(F.lit(r).alias("run"), F.when(far < near, 1).otherwise(0).alias("centre"), F.least(near, far).alias("cost")))
+        dealt = rows.select(*names, F.inline(F.array(*runs))).groupBy("run", "centre")
+        sums = dealt.agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in names])
+        return {(x["run"], x["centre"]): x.asDict() for x in sums.collect()}
+
+    found = summed()
+    for _ in range(max_iter):
+        shift = 0.0
+        for (r, j), x in found.items():
+            moved = [x[c] / x["n"] for c in names]
+            shift = max(shift, math.dist(moved, centres[r][j]))
+            centres[r][j] = moved
+        # The costs are those of the centres as they stand now.
+        found = summed()
+        if shift <= tol:
+            break
+    cost = [sum(found[r, j]["cost"] for j in range(2) if (r, j) in found) for r in range(restarts)]
+    return centres[cost.index(min(cost))]
+
+
 def forest_importance(
     train: DataFrame,
     columns: list[str],
     label: str = LABEL,
     n_estimators: int = 300,
-    max_depth: int = 12,
+    max_depth: int | None = None,
     seed: int = 42,
+    batch: int = 50,
 ) -> DataFrame:
-    """(feature, importance) by impurity decrease of a balanced forest, highest first."""
-    params = {"n_estimators": n_estimators, "max_depth": max_depth}
-    model = fit_forest(train, columns, label, params, seed).model
-    values = model.featureImportances.toArray().tolist()
+    """(feature, importance) by impurity decrease of a balanced forest, highest first.
+
+    The forest grows ``batch`` trees at a time, each with its own seed; a forest's importance is the mean of its
+    trees', so only one batch is ever in the driver's memory.
+    """
+    values = np.zeros(len(columns))
+    rows = stage_table(_training_rows(train, columns, label, "balanced"), "forest")
+    for start in range(0, n_estimators, batch):
+        n = min(batch, n_estimators - start)
+        model = _forest(rows, {"n_estimators": n, "max_depth": max_depth}, seed + start)
+        # Spark scales a forest's importances to a sum of one, as it does each tree's.
+        values += n * model.featureImportances.toArray()
+    drop_stage(rows)
+    values = (values / max(values.sum(), 1e-300)).tolist()
     rows = sorted(zip(columns, values), key=lambda r: (-r[1], r[0]))
     return train.sparkSession.createDataFrame(rows, "feature string, importance double")
 
@@ -499,6 +525,7 @@ _BOOST_GRID = {"n_estimators": [200, 400], "learning_rate": [0.03, 0.1]}
 _ROW_SHARE = ("uniform", 0.6, 1.0)
 _RATE = ("log", 0.01, 0.2)
 _ROUNDS = ("int", 200, 800)
+_PENALTY = ("log", 1e-3, 10.0)
 _C_GRID = {"C": [0.01, 0.1, 1.0, 10.0]}
 _FOCAL_GRID = {"gamma": [1.0, 2.0], "alpha": [0.25, 0.5], "n_estimators": [400]}
 _FOCAL = {"gamma": 2.0, "alpha": 0.25, "n_estimators": 400, "learning_rate": 0.05}
@@ -509,7 +536,7 @@ LEARNERS: dict[str, Learner] = {
         Learner(
             "lightgbm",
             fit_gradient_boosting("ratio"),
-            {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "min_child_samples": 20},
+            {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "min_child_samples": 20, "reg_lambda": 0.0},
             {**_BOOST_GRID, "num_leaves": [15, 31], "min_child_samples": [20, 50]},
             {
                 "n_estimators": _ROUNDS,
@@ -518,12 +545,13 @@ LEARNERS: dict[str, Learner] = {
                 "min_child_samples": ("int", 10, 100),
                 "subsample": _ROW_SHARE,
                 "colsample_bytree": _ROW_SHARE,
+                "reg_lambda": _PENALTY,
             },
         ),
         Learner(
             "xgboost",
             fit_gradient_boosting("ratio"),
-            {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6},
+            {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6, "reg_lambda": 1.0, "min_child_weight": 1},
             {**_BOOST_GRID, "max_depth": [3, 6], "subsample": [0.8, 1.0]},
             {
                 "n_estimators": _ROUNDS,
@@ -532,14 +560,15 @@ LEARNERS: dict[str, Learner] = {
                 "subsample": _ROW_SHARE,
                 "colsample_bytree": _ROW_SHARE,
                 "min_child_weight": ("int", 1, 10),
+                "reg_lambda": _PENALTY,
             },
         ),
         Learner(
             "catboost",
             fit_gradient_boosting("balanced"),
-            {"iterations": 100, "learning_rate": 0.1, "depth": 6},
+            {"iterations": 100, "learning_rate": 0.1, "depth": 6, "l2_leaf_reg": 3.0},
             {"iterations": [200, 400], "learning_rate": [0.03, 0.1], "depth": [4, 6]},
-            {"iterations": _ROUNDS, "learning_rate": _RATE, "depth": ("int", 4, 9)},
+            {"iterations": _ROUNDS, "learning_rate": _RATE, "depth": ("int", 4, 9), "l2_leaf_reg": ("log", 1.0, 30.0)},
         ),
         Learner("logreg_woe", fit_logistic, {"C": 1.0}, _C_GRID, forced_mode="binned_woe"),
         Learner("logreg", fit_logistic, {"C": 1.0}, _C_GRID),
@@ -551,32 +580,32 @@ LEARNERS: dict[str, Learner] = {
         ),
         Learner(
             "catboost_focal",
-            fit_focal_boosting,
-            {"gamma": 2.0, "alpha": 0.25, "iterations": 100, "learning_rate": 0.1, "depth": 6},
+            fit_focal_boosting(True),
+            {"gamma": 2.0, "alpha": 0.25, "iterations": 100, "learning_rate": 0.1, "depth": 6, "l2_leaf_reg": 3.0},
             {"iterations": [200, 400], "learning_rate": [0.05, 0.1], "depth": [4, 6]},
         ),
         Learner(
             "lightgbm_focal",
-            fit_focal_boosting,
+            fit_focal_boosting(False),
             {**_FOCAL, "num_leaves": 31},
             {**_FOCAL_GRID, "learning_rate": [0.05]},
         ),
         Learner(
             "xgboost_focal",
-            fit_focal_boosting,
-            {**_FOCAL, "max_depth": 6},
+            fit_focal_boosting(False),
+            {**_FOCAL, "max_depth": 6, "reg_lambda": 1.0},
             {**_FOCAL_GRID, "max_depth": [6]},
         ),
         Learner(
             "lightgbm_focal_native",
-            fit_focal_boosting,
+            fit_focal_boosting(False),
             {**_FOCAL, "num_leaves": 31},
             {**_FOCAL_GRID, "learning_rate": [0.05]},
         ),
         Learner(
             "xgboost_focal_native",
-            fit_focal_boosting,
-            {**_FOCAL, "max_depth": 6},
+            fit_focal_boosting(False),
+            {**_FOCAL, "max_depth": 6, "reg_lambda": 1.0},
             {**_FOCAL_GRID, "max_depth": [6]},
         ),
         Learner(

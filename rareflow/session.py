@@ -62,7 +62,16 @@ def stage_table(
         # Few files per folder; a value with many rows is split over several writers.
         writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._stage_path = path
+    return staged
+
+
+def drop_stage(*staged: DataFrame) -> None:
+    """Remove the files of stage tables that nothing reads any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
