@@ -244,14 +244,14 @@ class FittedSmoothing:
             return clipped
         names = list(self.references)
         ranks = uniform_ranks([self.references[c] for c in names])
-        ranked = clipped.withColumn("_u", ranks(F.array(*[F.col(c) for c in names])))
+        ranked = clipped.withColumn("_u", ranks(*[F.col(c) for c in names]))
         return ranked.select(
             *[F.col("_u")[names.index(c)].alias(c) if c in names else F.col(c) for c in df.columns]
         )
 
 
 def uniform_ranks(references: list[list[float]]):
-    """Vectorised map of an array column through per-position reference quantiles.
+    """Vectorised map of double columns through their reference quantiles, one array out.
 
     Interpolation from the left and from the right agree except on plateaus,
     where their mean is used; the ends map to exactly 0 and 1.
@@ -259,8 +259,8 @@ def uniform_ranks(references: list[list[float]]):
     tables = [np.maximum.accumulate(np.asarray(r, dtype=float)) for r in references]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def ranks(values: pd.Series) -> pd.Series:
-        block = np.array(values.tolist(), dtype=float).reshape(len(values), len(tables))
+    def ranks(*values: pd.Series) -> pd.Series:
+        block = np.column_stack([v.to_numpy(dtype=float) for v in values])
         for j, q in enumerate(tables):
             level = np.linspace(0.0, 1.0, len(q))
             x = block[:, j].copy()
@@ -270,7 +270,7 @@ def uniform_ranks(references: list[list[float]]):
             u[x >= q[-1]] = 1.0
             u[x <= q[0]] = 0.0
             block[:, j] = u
-        return pd.Series(list(block))
+        return pd.Series(list(block), dtype=object)
 
     return ranks
 

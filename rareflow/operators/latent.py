@@ -15,14 +15,17 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import LABEL
-from .encoders import FittedStandardizer, Standardizer
-from .metrics import class_balance
+from ..session import drop_stage, stage_table
+from .encoders import FittedStandardizer, Standardizer, periodic_features, periodic_frequencies
+from .metrics import average_precision, class_balance, score_curve
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -117,9 +120,60 @@ def balanced_copies(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
 
 
+def held_out(columns: list[str], share: float, seed: int) -> Column:
+    """Whether a row belongs to the held-out share; rows with equal columns do together."""
+    place = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), F.lit(1 << 20))
+    return place < F.lit(int(share * (1 << 20)))
+
+
+class SlicedNet:
+    """A perceptron trained in slices, each from the weights of the one before, and judged after each.
+
+    ``table`` has y, features and held. A slice takes ``steps`` optimiser steps on the rows that are not held out;
+    average precision on both parts is kept, and the weights of the best slice.
+    """
+
+    def __init__(self, table: DataFrame, layers: list[int], steps: int, seed: int):
+        self.table, self.layers, self.steps, self.seed = table, layers, steps, seed
+        self.rows = balanced_copies(table.filter("not held").select("y", "features"), "y")
+        self.last = self.best = None
+        #: Per slice: held-out and training average precision; NaN where a part has one class.
+        self.history: list[tuple[float, float]] = []
+
+    def advance(self) -> None:
+        net = MultilayerPerceptronClassifier(layers=self.layers, labelCol="y", maxIter=self.steps, seed=self.seed)
+        if self.last is not None:
+            net = net.setInitialWeights(Vectors.dense(self.last))
+        model = net.fit(self.rows)
+        self.last = model.weights.toArray().tolist()
+        model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("prob")
+        scored = model.transform(self.table).select("y", "held", vector_to_array("prob")[1].alias("p"))
+        curve = score_curve(scored, "p", "y", ["held"])
+        told = {r.held: r.ap for r in curve.groupBy("held").agg(average_precision().alias("ap")).collect()}
+        self.history.append((told.get(True, float("nan")), told.get(False, float("nan"))))
+        if self.best_slice() == len(self.history) - 1:
+            self.best = self.last
+
+    def best_slice(self) -> int:
+        """The slice of the highest held-out average precision, the first of equals; the last if none has one."""
+        known = [i for i, (ap, _) in enumerate(self.history) if ap == ap]
+        return max(known, key=lambda i: (self.history[i][0], -i)) if known else len(self.history) - 1
+
+    def gap(self) -> float:
+        """How much better the best slice does on the rows it was trained on."""
+        held, own = self.history[self.best_slice()]
+        return own - held
+
+
 @dataclass
 class HiddenLayerEmbedding:
-    """Supervised net trained on the training rows; emits its last hidden layer."""
+    """Supervised net trained on the training rows; emits its last hidden layer.
+
+    The optimiser runs in ``slices`` of its ``max_iter`` steps. After each, average precision is taken on the
+    ``holdout`` share of the training rows; the weights of the best slice are kept, and training ends when
+    ``patience`` slices in a row were no better. Without a holdout all steps are one slice on all rows.
+    ``periodic`` adds sines and cosines of each scaled input at so many seeded frequencies to the net's inputs.
+    """
 
     embedding_dim: int = 16
     hidden1: int = 40
@@ -128,19 +182,38 @@ class HiddenLayerEmbedding:
     seed: int = 42
     keep_raw: bool = True
     label: str = LABEL
+    slices: int = 5
+    holdout: float = 0.1
+    patience: int = 2
+    periodic: int = 0
 
-    def fit(self, train: DataFrame, columns: list[str]) -> "FittedEmbedding":
+    def inputs(self, train: DataFrame, columns: list[str]) -> tuple[FittedStandardizer, list[list[float]], DataFrame]:
+        """Scaler, frequencies, and the staged table of y, features and held."""
         scaler = Standardizer().fit(train, columns)
-        layers = [len(columns), self.hidden1, self.hidden2, self.embedding_dim, 2]
+        frequencies = periodic_frequencies(len(columns), self.periodic, seed=self.seed) if self.periodic else []
         scaled = train.select(
             F.col(self.label).cast("double").alias("y"),
-            *[scaler.value(c).alias(c) for c in columns],
+            held_out(columns, self.holdout, self.seed).alias("held"),
+            *[scaler.value(c).alias(f"z{i}") for i, c in enumerate(columns)],
+        )
+        names = [f"z{i}" for i in range(len(columns))]
+        extra = periodic_features(names, frequencies) if frequencies else []
+        rows = assemble(scaled.select("*", *extra), [*names, *[f"{n}_{part}_{i}" for n in names for i in range(self.periodic) for part in ("sin", "cos")]])
+        return scaler, frequencies, stage_table(rows.select("y", "held", "features"), "net")
+
+    def layers(self, n_inputs: int) -> list[int]:
+        return [n_inputs * (1 + 2 * self.periodic), self.hidden1, self.hidden2, self.embedding_dim, 2]
+
+    def fit(self, train: DataFrame, columns: list[str]) -> "FittedEmbedding":
+        scaler, frequencies, table = self.inputs(train, columns)
+        slices = self.slices if self.holdout > 0 else 1
+        net = SlicedNet(table, self.layers(len(columns)), -(-self.max_iter // slices), self.seed)
+        while len(net.history) < slices and len(net.history) - net.best_slice() <= self.patience:
+            net.advance()
+        drop_stage(table)
+        return FittedEmbedding(
+            columns, scaler, net.layers, net.best, self.keep_raw, frequencies, [list(h) for h in net.history], net.best_slice()
         )
-        rows = assemble(balanced_copies(scaled, "y"), columns).select("y", "features")
-        net = MultilayerPerceptronClassifier(
-            layers=layers, labelCol="y", maxIter=self.max_iter, seed=self.seed
-        ).fit(rows)
-        return FittedEmbedding(columns, scaler, layers, net.weights.toArray().tolist(), self.keep_raw)
 
 
 @dataclass
@@ -150,6 +223,14 @@ class FittedEmbedding:
     layers: list[int]
     weights: list[float] = field(repr=False, default_factory=list)
     keep_raw: bool = True
+    frequencies: list[list[float]] = field(repr=False, default_factory=list)
+    #: Held-out and training average precision after each slice, and the slice whose weights these are.
+    history: list[list[float]] = field(default_factory=list)
+    best: int = 0
+
+    def overfit_gap(self) -> float:
+        held, own = self.history[self.best]
+        return own - held
 
     def matrices(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(weights, bias) per layer; the flat vector holds them column by column."""
@@ -165,17 +246,21 @@ class FittedEmbedding:
     def transform(self, df: DataFrame) -> DataFrame:
         hidden = self.matrices()[:-1]
 
+        frequencies = [2.0 * np.pi * np.asarray(row) for row in self.frequencies]
+
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def embed(rows: pd.Series) -> pd.Series:
-            if not len(rows):
-                return pd.Series([], dtype=object)
-            x = np.stack(rows.to_numpy())
+        def embed(*inputs: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in inputs])
+            if frequencies:
+                # Each input's sine and cosine at each of its frequencies, as the fit has them.
+                angles = np.stack([x[:, [i]] * row for i, row in enumerate(frequencies)], axis=1)
+                waves = np.stack([np.sin(angles), np.cos(angles)], axis=3)
+                x = np.hstack([x, waves.reshape(len(x), -1)])
             for w, b in hidden:
                 x = 1.0 / (1.0 + np.exp(-(x @ w.T + b)))
-            return pd.Series(list(x))
+            return pd.Series(list(x), dtype=object)
 
-        inputs = F.array(*[self.scaler.value(c) for c in self.columns])
-        named = df.withColumn("_nn", embed(inputs))
+        named = df.withColumn("_nn", embed(*[self.scaler.value(c) for c in self.columns]))
         kept = [c for c in df.columns if self.keep_raw or c not in self.columns]
         nn = [F.col("_nn")[i].alias(n) for i, n in enumerate(self.new_columns())]
         return named.select(*kept, *nn)

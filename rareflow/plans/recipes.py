@@ -105,6 +105,12 @@ class FeatureRecipe:
     label: str = LABEL
     row_id: str = ROW_ID
     seed: int = 42
+    #: How many of the first columns are crossed by the modes with interactions.
+    interaction_width: int = 8
+
+    def learns_nothing(self) -> bool:
+        """Whether the features of a row depend on that row alone."""
+        return set(mode_steps(self.mode)) <= {"interactions"}
 
     def fit(self, train: DataFrame, columns: list[str]) -> "FittedRecipe":
         return self.fit_transform(train, columns)[0]
@@ -129,7 +135,7 @@ class FeatureRecipe:
         if name == "engineer_noemail":
             return FeatureEngineer(add_logz_email=False).fit(rows)
         if name == "interactions":
-            return Interactions(columns)
+            return Interactions(columns, self.interaction_width)
         if name == "woe":
             return OptimalBinningWOE(label=self.label).fit(rows, columns)
         if name == "bins":
