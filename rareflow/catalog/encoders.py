@@ -332,11 +332,11 @@ def winsorise(spark, sf_dir):
 
 
 _UNIFORM = ["num_words", "num_links"]
-_NQ = 21
+_NQ = 1000
 
 
 def _uniform(c: str) -> str:
-    """Interpolated rank against 21 reference quantiles; plateaus take their middle."""
+    """Interpolated rank against the reference quantiles; plateaus take their middle."""
     q = f"(SELECT v, CAST(i AS DOUBLE) / {_NQ - 1} AS u FROM refs WHERE feature = '{c}')"
     x = f"w.{c}"
     return (
@@ -350,10 +350,10 @@ def _uniform(c: str) -> str:
     )
 
 
+_LEVELS = ", ".join(f"{i}e0 / {_NQ - 1}e0" for i in range(_NQ))
 _REFS = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {i} AS i, quantile_cont({c}, {i / (_NQ - 1)}e0) AS v FROM wtrain"
+    f"SELECT '{c}' AS feature, unnest(range(0, {_NQ})) AS i, unnest(quantile_cont({c}, [{_LEVELS}])) AS v FROM wtrain"
     for c in _UNIFORM
-    for i in range(_NQ)
 )
 _WTRAIN = ", ".join(f"least(greatest(CAST({c} AS DOUBLE), lo_{c}), hi_{c}) AS {c}" for c in _UNIFORM)
 
@@ -377,8 +377,7 @@ _WTRAIN = ", ".join(f"least(greatest(CAST({c} AS DOUBLE), lo_{c}), hi_{c}) AS {c
 )
 def winsor_quantile(spark, sf_dir):
     df, train = _all_and_train(spark, sf_dir)
-    smoothing = encoders.FeatureSmoothing(n_quantiles=_NQ)
-    fitted = smoothing.fit(train, _UNIFORM)
+    fitted = encoders.FeatureSmoothing().fit(train, _UNIFORM)
     return rounded(fitted.transform(df.select(ROW_ID, LABEL, *_UNIFORM)))
 
 

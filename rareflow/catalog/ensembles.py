@@ -299,7 +299,27 @@ def sigmoid_calibration(spark, sf_dir):
     return rounded(fitted.apply(part(df, "test"), "p_a", "p"))
 
 
-@query("t08_isotonic_calibration")
+#: The best non-decreasing rate at each score is the largest over its left of the smallest mean to its right.
+_ISOTONIC_SQL = VAL_SQL + """,
+iso AS (SELECT s, y, n, row_number() OVER (ORDER BY s) AS k, sum(y) OVER (ORDER BY s) AS cy, sum(n) OVER (ORDER BY s) AS cn
+        FROM (SELECT p_a AS s, sum(label_1) AS y, count(*) AS n FROM val GROUP BY 1)),
+runs AS (SELECT a.k AS i, b.k AS j, CAST(b.cy - a.cy + a.y AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m
+         FROM iso a JOIN iso b ON a.k <= b.k),
+low AS (SELECT j, min(m) OVER (PARTITION BY i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS m FROM runs),
+knots AS (SELECT s, p FROM iso JOIN (SELECT j, max(m) AS p FROM low GROUP BY 1) ON j = k),
+near AS (SELECT DISTINCT p_a, (SELECT max(s) FROM knots WHERE s <= p_a) AS ls, (SELECT arg_max(p, s) FROM knots WHERE s <= p_a) AS lp,
+         (SELECT min(s) FROM knots WHERE s >= p_a) AS hs, (SELECT arg_min(p, s) FROM knots WHERE s >= p_a) AS hp
+         FROM parts WHERE split = 'test')"""
+
+
+@query(
+    "t08_isotonic_calibration",
+    with_sql(
+        f"SELECT row_id, label_1, p_a, {r6('CASE WHEN ls IS NULL THEN hp WHEN hs IS NULL OR hs = ls THEN lp ELSE lp + (hp - lp) * (p_a - ls) / (hs - ls) END', 'p')}"
+        " FROM parts JOIN near USING (p_a) WHERE split = 'test'",
+        _ISOTONIC_SQL,
+    ),
+)
 def isotonic_calibration(spark, sf_dir):
     df = holdout_split(staged_counts(spark, sf_dir).select(ROW_ID, LABEL, "p_a"))
     fitted = calibration.fit_calibration(part(df, "val"), "p_a", "isotonic")

@@ -6,14 +6,18 @@ table and returns one row of test metrics (or the transformed rows).
 
 from __future__ import annotations
 
+import re
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import latent, learners
 from ..operators.metrics import metric_record, score_curve
-from ..operators.splits import assign_folds, holdout_split, part
+from ..operators.splits import holdout_split, part
 from ..plans.experiment import (
     ExperimentConfig,
+    architecture_sweep,
     embedding_study,
     results_table,
     run_experiments,
@@ -21,13 +25,14 @@ from ..plans.experiment import (
     save_best,
 )
 from ..plans.recipes import FEATURE_MODES, FeatureRecipe
-from ..plans.search import candidate_means, cross_validate, random_candidates, search
+from ..plans.search import candidate_means, random_candidates, search
 from ..plans.versions import list_versions, load_version
-from ..schema import LABEL, ROW_ID
+from ..schema import LABEL, ROW_ID, has_labels
 from ..session import shared_dir, stage_table
 from .base import (
-    ORACLE,
     FEATURES,
+    HOLDOUT_SQL,
+    ORACLE,
     counts,
     query,
     r6,
@@ -35,6 +40,7 @@ from .base import (
     staged_counts,
     with_sql,
 )
+from .features import CATALOGUE_SQL, LOGZ_SQL, MOMENTS_SQL, P95_SQL
 
 
 def _split_table(spark, sf_dir):
@@ -53,20 +59,20 @@ def _fit_and_test(spark, sf_dir, name, mode="raw", **params):
     return rounded(record.select(F.lit(name).alias("model"), "*"))
 
 
-# Settings small enough for a check on one machine; the registry holds the full spaces.
+# Fewer trees than the registry's defaults, so that a check on one machine ends; enough for margins to be staged.
 _QUICK = {
-    "m01_lightgbm": ("lightgbm", {"n_estimators": 8, "num_leaves": 15}),
-    "m02_xgboost": ("xgboost", {"n_estimators": 8, "max_depth": 4}),
-    "m03_catboost": ("catboost", {"iterations": 8, "depth": 4}),
+    "m01_lightgbm": ("lightgbm", {"n_estimators": 12, "num_leaves": 15, "reg_lambda": 1.0}),
+    "m02_xgboost": ("xgboost", {"n_estimators": 12, "max_depth": 4, "subsample": 0.8, "colsample_bytree": 0.8}),
+    "m03_catboost": ("catboost", {"iterations": 12, "depth": 4}),
     "m04_logreg_woe": ("logreg_woe", {}),
     "m05_logreg": ("logreg", {}),
     "m06_randomforest": ("randomforest", {"n_estimators": 20, "max_depth": 8}),
-    "m07_catboost_focal": ("catboost_focal", {"iterations": 6, "depth": 4}),
-    "m08_lightgbm_focal": ("lightgbm_focal", {"n_estimators": 6, "num_leaves": 15}),
-    "m08_xgboost_focal": ("xgboost_focal", {"n_estimators": 6, "max_depth": 4}),
-    "m09_lightgbm_focal_native": ("lightgbm_focal_native", {"n_estimators": 6, "num_leaves": 15}),
-    "m09_xgboost_focal_native": ("xgboost_focal_native", {"n_estimators": 6, "max_depth": 4}),
-    "m10_adaboost": ("adaboost", {"n_estimators": 8}),
+    "m07_catboost_focal": ("catboost_focal", {"iterations": 12, "depth": 4}),
+    "m08_lightgbm_focal": ("lightgbm_focal", {"n_estimators": 12, "num_leaves": 15}),
+    "m08_xgboost_focal": ("xgboost_focal", {"n_estimators": 12, "max_depth": 4}),
+    "m09_lightgbm_focal_native": ("lightgbm_focal_native", {"n_estimators": 12, "num_leaves": 15}),
+    "m09_xgboost_focal_native": ("xgboost_focal_native", {"n_estimators": 12, "max_depth": 4}),
+    "m10_adaboost": ("adaboost", {"n_estimators": 12}),
     "m11_cluster_kmeans": ("cluster", {"algo": "kmeans"}),
     "m12_cluster_gmm": ("cluster", {"algo": "gmm"}),
     "m13_dense_net": ("tensorflow_dnn", {"max_iter": 40}),
@@ -106,6 +112,33 @@ def embedding(spark, sf_dir):
     return rounded(net.fit(part(data, "train"), FEATURES).transform(data))
 
 
+@query("e13_embedding_slices")
+def embedding_slices(spark, sf_dir):
+    """Held-out and training average precision after each slice of the net's training, and the slice it keeps."""
+    data = _split_table(spark, sf_dir)
+    net = latent.HiddenLayerEmbedding(max_iter=40, slices=4, holdout=0.2, patience=4, periodic=2)
+    fitted = net.fit(part(data, "train"), FEATURES)
+    rows = [(i, held, own, i == fitted.best, fitted.overfit_gap()) for i, (held, own) in enumerate(fitted.history)]
+    return rounded(
+        spark.createDataFrame(rows, "slice int, holdout_ap double, train_ap double, kept boolean, overfit_gap double")
+    )
+
+
+@query("r07_architecture_sweep")
+def sweep(spark, sf_dir):
+    """Hidden widths by successive halving on held-out average precision."""
+    widths = [(40, 20), (20, 10), (12, 8), (8, 4)]
+    settings = {"max_iter": 18, "slices": 3, "embedding_dim": 6, "holdout": 0.2}
+    return rounded(architecture_sweep(_split_table(spark, sf_dir), widths, _config(), settings))
+
+
+@query("s02_has_labels", with_sql("SELECT true AS labelled, false AS unlabelled, count(*) AS n FROM counts"))
+def labelled(spark, sf_dir):
+    """Evaluation or inference, told from the columns alone."""
+    df = counts(spark, sf_dir)
+    return df.agg(F.lit(has_labels(df)).alias("labelled"), F.lit(has_labels(df.drop(LABEL))).alias("unlabelled"), F.count(F.lit(1)).alias("n"))
+
+
 @query("p03_embedding_columns")
 def embedding_columns(spark, sf_dir):
     data = _split_table(spark, sf_dir)
@@ -123,7 +156,54 @@ def prefix_projection(spark, sf_dir):
     return latent.prefixed(counts(spark, sf_dir), "num_", [ROW_ID])
 
 
+def _exact(column: str) -> str:
+    """A catalogue column without its rounding."""
+    return re.sub(r"^round\((.*), 6\) \+ 0\.0 AS (\w+)$", r"\1 AS \2", column, flags=re.S)
+
+
+_NAMES = [c.split(" AS ")[-1] for c in CATALOGUE_SQL]
+_CATALOGUE_CTES = HOLDOUT_SQL + P95_SQL + MOMENTS_SQL
+_CATALOGUE = f", cat AS (SELECT row_id, label_1, split, {', '.join(map(_exact, CATALOGUE_SQL))} FROM parts)"
+
+
+def _target_sql(columns: list[str], source: str, ctes: str) -> str:
+    """Smoothed maps of the train rows of ``source``, applied to all of its rows."""
+    maps = "".join(
+        f", tm_{c} AS (SELECT {c} AS value, (sum(label_1) + p * 20e0) / (count(*) + 20e0) AS te"
+        f" FROM {source}, tprior WHERE split = 'train' GROUP BY {c}, p)"
+        for c in columns
+    )
+    values = ", ".join(r6(f"coalesce(tm_{c}.te, p)", f"{c}_te") for c in columns)
+    joins = " ".join(f"LEFT JOIN tm_{c} ON tm_{c}.value = {source}.{c}" for c in columns)
+    prior = f", tprior AS (SELECT avg(label_1) AS p FROM {source} WHERE split = 'train')"
+    return with_sql(f"SELECT row_id, label_1, {values} FROM {source} {joins} CROSS JOIN tprior", ctes + prior + maps)
+
+
+def _bins_sql(columns: list[str], source: str, ctes: str) -> str:
+    """Eighths of the train rows of ``source``, applied to all of its rows."""
+    points = lambda c: ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {i / 8}e0)" for i in range(9))
+    edges = ", ".join(f"list_sort(list_distinct([{points(c)}])) AS e_{c}" for c in columns)
+    values = ", ".join(
+        f"CAST(len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda q: q <= {c})) AS INTEGER) AS {c}_bin" for c in columns
+    )
+    cut = f", cuts AS (SELECT {edges} FROM {source} WHERE split = 'train')"
+    return with_sql(f"SELECT row_id, label_1, {values} FROM {source}, cuts", ctes + cut)
+
+
 _MODE_SQL = {
+    "engineered_noemail": with_sql(
+        f"SELECT row_id, label_1, {', '.join(c for c in CATALOGUE_SQL if c not in LOGZ_SQL)} FROM counts",
+        HOLDOUT_SQL + P95_SQL,
+    ),
+    "ix_engineered": with_sql(
+        f"SELECT row_id, label_1, {', '.join(CATALOGUE_SQL)}, "
+        + ", ".join(f"{a} * {b} AS {a}__x__{b}" for a, b in combinations(FEATURES, 2))
+        + " FROM counts",
+        _CATALOGUE_CTES,
+    ),
+    "target": _target_sql(FEATURES, "parts", HOLDOUT_SQL),
+    "engineered_target": _target_sql(_NAMES, "cat", _CATALOGUE_CTES + _CATALOGUE),
+    "engineered_quantile": _bins_sql(_NAMES, "cat", _CATALOGUE_CTES + _CATALOGUE),
     "raw": with_sql(f"SELECT row_id, {', '.join(FEATURES)}, label_1 FROM counts"),
     "quantile": ORACLE["e01_quantile_bins"],
     "engineered": ORACLE["f10_catalogue"],
@@ -268,14 +348,16 @@ def grid_search(spark, sf_dir):
 
 @query("r02_random_search")
 def random_search(spark, sf_dir):
-    train = assign_folds(part(_split_table(spark, sf_dir), "train"), 3)
-    """Candidates as they were drawn from the learner's ranges, none made cheaper."""
-    learner = learners.LEARNERS["logreg"]
-    drawn = random_candidates(learner, 3)
-    found = cross_validate(
-        stage_table(train), FEATURES, learner, FeatureRecipe("raw"), drawn, n_folds=3
+    """A booster on values drawn from its ranges; only the number of rounds has a range of its own here."""
+    train = part(_split_table(spark, sf_dir), "train")
+    learner = learners.LEARNERS["catboost"]
+    drawn = random_candidates(learner, 3, ranges={"iterations": ("int", 11, 16), "depth": ("int", 3, 6)})
+    found = search(
+        train, FEATURES, learner, FeatureRecipe("raw"), n_folds=3, candidates=drawn
     )
-    return rounded(found)
+    values = [(i, c["iterations"], c["learning_rate"], c["depth"], c["l2_leaf_reg"]) for i, c in enumerate(drawn)]
+    table = spark.createDataFrame(values, "candidate int, iterations int, learning_rate double, depth int, l2_leaf_reg double")
+    return rounded(found.scores.join(F.broadcast(table), "candidate"))
 
 
 @query("r03_cached_search")
