@@ -18,6 +18,7 @@ no Unicode version up to 15.1 assigns may be cut differently from the library.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections import Counter
@@ -38,6 +39,8 @@ COUNT_EVERY = 1 << 20
 MEMO_WORDS = 1 << 19
 CHUNK_WORDS = 1 << 17
 NONE = np.iinfo(np.int32).max
+#: Pieces of more bytes are merged one by one.
+LONG_BYTES = 4096
 #: Control characters that str.split takes for white space and the vocabulary's rule does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"[^\s]+")
@@ -69,6 +72,7 @@ class Merges:
         order = np.argsort(key)
         self.key, self.rank = key[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        self.pairs: dict[int, tuple[int, int]] = {}
         self.tokens = [""] * self.size
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
@@ -83,10 +87,13 @@ class Merges:
         """The ids of each piece as little-endian 32-bit numbers.
 
         The pair of lowest rank merges first, the leftmost of equals. Pieces of like length are
-        merged side by side, one merge in each per step.
+        merged side by side, one merge in each per step; longer ones by a heap of their pairs.
         """
         out = [b""] * len(pieces)
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        for i in np.nonzero(lengths > LONG_BYTES)[0].tolist():
+            out[i] = self._long(pieces[i])
+        lengths[lengths > LONG_BYTES] = 0
         low = 0
         while low < lengths.max(initial=0):
             high = max(8, low * 2)
@@ -104,6 +111,42 @@ class Merges:
             low = high
         return out
 
+    def _long(self, piece: bytes) -> bytes:
+        """One piece in n log n steps."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.made[self.rank].tolist(), strict=True), strict=True))
+        n = len(piece)
+        ids = self.inner[np.frombuffer(piece, np.uint8)].tolist()
+        ids[-1] = int(self.last[piece[-1]])
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] >= 0:
+                found = self.pairs.get(ids[i] * self.size + ids[after[i]])
+                if found is not None:
+                    heap.append((found[0], i, ids[i], ids[after[i]]))
+
+        for i in range(n - 1):
+            offer(i)
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            gone = after[i]
+            # An id of the pair may have merged with another since.
+            if ids[i] != a or gone < 0 or ids[gone] != b:
+                continue
+            ids[i], ids[gone] = self.pairs[a * self.size + b][1], -1
+            after[i] = after[gone]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for place in (i, before[i]):
+                size = len(heap)
+                offer(place)
+                if len(heap) > size:
+                    heapq.heappush(heap, heap.pop())
+        return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
+
     def _side_by_side(self, pieces: list[bytes]) -> np.ndarray:
         """One row of ids per piece, filled up with -1."""
         n, lengths = len(pieces), np.array([len(p) for p in pieces])
