@@ -1,12 +1,14 @@
 """Licence notices by a trained paragraph classifier.
 
-Every line of every text is a paragraph. A multinomial logistic regression on the words and word pairs that
-occur in licence notices, trained here, gives it a licence family or none. It is trained on the notices below,
-varied at random, and on a bounded sample of the corpus' own paragraphs as counter-examples, chosen by a hash
-(``OTHERS`` at most). A held-out part of both calibrates the probabilities (one temperature) and sets the bar under
-which nothing is claimed: what no held-out counter-example exceeds, within ``BARS``. A prediction over the bar is
-confirmed if the paragraph holds ``CONFIRM`` of the word pairs of a notice of that family, else its licence is
-unknown.
+A paragraph is a line, and also every run of neighbouring lines that share word pairs with some licence notice, so
+a notice that is wrapped over lines is read as one. A multinomial logistic regression on the words and word pairs
+that occur in licence notices, trained here, gives a paragraph a licence family, *unknown* (a notice of a licence
+that is none of these) or none. It is trained on the notices below, varied at random, on notices of made-up
+licences, and on a bounded sample of the corpus' own paragraphs as counter-examples, chosen by a hash (``OTHERS`` at
+most). A held-out part of all three calibrates the probabilities of all classes (one temperature) and sets the bar
+under which nothing is claimed: what no held-out counter-example exceeds, within ``BARS``. The prediction of a family
+is confirmed if the paragraph holds ``CONFIRM`` of the word pairs of a notice of that family; with ``RESEMBLE`` of
+them its licence is unknown too, with fewer it is no notice.
 
 Documents are scored where they lie; nothing is shuffled.
 
@@ -39,32 +41,71 @@ HELD_OUT = 4
 #: A word or pair must occur in so many varied notices to be a feature.
 SEEN = 3
 CONFIRM = 0.8
+RESEMBLE = 0.5
 BARS = (0.8, 0.98)
 SEED = 11
 NONE = "none"
 UNKNOWN = "unknown"
 WORDS = regex.compile(r"[\p{L}\p{N}]+(?:[.\-/+'][\p{L}\p{N}]+)*").findall
 
-# Usual short notices of licence families.
+# Usual notices, standard headers and first paragraphs of licence families.
 NOTICES = {
-    "AGPL-3.0": ["licensed under the gnu affero general public license, version 3", "released under the agpl 3.0"],
-    "Apache-2.0": ["licensed under the apache license, version 2.0", "apache license, version 2.0", "apache license version 2.0, january 2004"],
-    "BSD-2-Clause": ["licensed under the bsd 2-clause license", "released under the simplified bsd license"],
-    "BSD-3-Clause": ["licensed under the bsd 3-clause license", "released under the new bsd license"],
+    "AGPL-3.0": [
+        "licensed under the gnu affero general public license, version 3",
+        "released under the agpl 3.0",
+        "it under the terms of the gnu affero general public license as published by the free software foundation, either version 3",
+    ],
+    "Apache-2.0": [
+        "licensed under the apache license, version 2.0",
+        "apache license, version 2.0",
+        "apache license version 2.0, january 2004",
+        'licensed under the apache license, version 2.0 (the "license"); you may not use this file except in compliance with the license',
+    ],
+    "BSD-2-Clause": [
+        "licensed under the bsd 2-clause license",
+        "released under the simplified bsd license",
+        "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ],
+    "BSD-3-Clause": [
+        "licensed under the bsd 3-clause license",
+        "released under the new bsd license",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    ],
     "CC-BY-4.0": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "CC-BY-NC-4.0": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
     "CC-BY-SA-4.0": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
     "CC0-1.0": ["released under cc0 1.0", "dedicated to the public domain under the cc0 1.0 universal dedication"],
-    "GPL-2.0": ["this work is licensed under the gnu general public license, version 2", "released under the gpl 2.0"],
-    "GPL-3.0": ["this work is licensed under the gnu general public license, version 3", "released under the gpl 3.0"],
+    "GPL-2.0": [
+        "this work is licensed under the gnu general public license, version 2",
+        "released under the gpl 2.0",
+        "it under the terms of the gnu general public license as published by the free software foundation; either version 2",
+    ],
+    "GPL-3.0": [
+        "this work is licensed under the gnu general public license, version 3",
+        "released under the gpl 3.0",
+        "it under the terms of the gnu general public license as published by the free software foundation, either version 3",
+    ],
     "ISC": ["released under the isc license", "permission to use, copy, modify, and/or distribute this software for any purpose"],
-    "LGPL-3.0": ["licensed under the gnu lesser general public license, version 3", "released under the lgpl 3.0"],
+    "LGPL-3.0": [
+        "licensed under the gnu lesser general public license, version 3",
+        "released under the lgpl 3.0",
+        "it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3",
+    ],
     "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license, v. 2.0", "licensed under the mozilla public license, version 2.0"],
     "Proprietary": ["all rights reserved", "copyright, all rights reserved by the author"],
     "Unlicense": ["this is free and unencumbered software released into the public domain"],
 }
-CLASSES = [NONE, *sorted(NOTICES)]
+CLASSES = [NONE, UNKNOWN, *sorted(NOTICES)]
+#: How licences outside the families are named in their notices; the name is made up.
+STRANGERS = [
+    "released under the {} license",
+    "licensed under the {} license, version {n}",
+    "this work is licensed under the {} public license, version {n}.0",
+    "licensed under {} {n}.0",
+    "it under the terms of the {} license as published by its authors, either version {n}",
+    "distributed under the terms of the {} open licence",
+]
 
 
 def terms(paragraph: str) -> set[str]:
@@ -83,14 +124,16 @@ def _variants() -> list[tuple[str, int]]:
     rng = random.Random(SEED)
     starts = ["", "", "", "this project is ", "the code is ", "note: ", "copyright (c) 2020 the authors. ", "this file is ", "the content of this page is "]
     ends = ["", "", "", ".", " (the license).", ". see the file for details.", ", with no warranty.", " by its authors."]
+    name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4)))
+    told = [(notice, family) for family, own in NOTICES.items() for notice in own]
+    told += [(notice, UNKNOWN) for notice in STRANGERS]
     out = []
-    for family, notices in NOTICES.items():
-        for notice in notices:
-            for _ in range(VARIANTS):
-                words = notice.split()
-                if len(words) > 6 and rng.random() < 0.2:
-                    del words[rng.randrange(len(words))]
-                out.append((rng.choice(starts) + " ".join(words) + rng.choice(ends), CLASSES.index(family)))
+    for notice, family in told:
+        for _ in range(VARIANTS):
+            words = notice.format(name(), n=rng.randrange(1, 9)).split() if family == UNKNOWN else notice.split()
+            if len(words) > 6 and rng.random() < 0.2:
+                del words[rng.randrange(len(words))]
+            out.append((rng.choice(starts) + " ".join(words) + rng.choice(ends), CLASSES.index(family)))
     return out
 
 
@@ -110,11 +153,28 @@ class Classifier:
     temperature: float
     bar: float
 
+    def __post_init__(self) -> None:
+        self.notice_pairs = {p for own in NOTICES.values() for n in own for p in pairs(n)}
+        self.notice_words = {w for p in self.notice_pairs for w in p.split()}
+
     def raw(self, paragraph: str) -> np.ndarray:
         get = self.features.get
         hits = [i for t in terms(paragraph) if (i := get(t)) is not None]
         return self.intercept + self.weights[hits].sum(axis=0)
 
+    def paragraphs(self, text: str) -> Iterator[str]:
+        """The lines of a text, and its runs of lines that share a word pair with a notice."""
+        run: list[str] = []
+        for line in [*text.split("\n"), ""]:
+            if line:
+                yield line
+            if line and not self.notice_words.isdisjoint(WORDS(line.lower())) and not self.notice_pairs.isdisjoint(pairs(line)):
+                run.append(line)
+                continue
+            if len(run) > 1:
+                yield " ".join(run)
+            run = []
+
     def predict(self, paragraph: str) -> tuple[str, float] | None:
         """Licence (or unknown) and probability, None if it is no notice."""
         raw = self.raw(paragraph)
@@ -125,8 +185,12 @@ class Classifier:
         if probability < self.bar:
             return None
         family = CLASSES[best]
+        if family == UNKNOWN:
+            return UNKNOWN, probability
         own = pairs(paragraph)
         likeness = max(len(own & wanted) / len(wanted) for wanted in map(pairs, NOTICES[family]))
+        if likeness < RESEMBLE:
+            return None
         return (family if likeness >= CONFIRM else UNKNOWN), probability
 
 
@@ -168,17 +232,24 @@ def train(docs: DataFrame, text_col: str = "text") -> Classifier:
     return Classifier(features, weights, intercept, temperature, bar)
 
 
-def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_paragraphs (that read like a notice), licences (confirmed or unknown, sorted), probability (the best)."""
-    shared = Shared(docs.sparkSession, classifier)
+def scan(docs: DataFrame, trained: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_paragraphs (that read like a notice), licences (sorted), probability (the best).
+
+    A text with a confirmed licence is not called unknown as well.
+    """
+    shared = Shared(docs.sparkSession, trained)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = shared.value.predict
+        classifier = shared.value
+        predict = classifier.predict
         for batch in batches:
             counts, names, best = [], [], []
             for text in batch.column(1):
-                found = [p for line in (text.as_py() or "").split("\n") if line and (p := predict(line))]
+                found = [p for paragraph in classifier.paragraphs(text.as_py() or "") if (p := predict(paragraph))]
+                # A part of a wrapped notice is no licence of its own.
+                named = [p for p in found if p[0] != UNKNOWN]
+                found = named or found
                 counts.append(len(found))
                 names.append(sorted({name for name, _ in found}))
                 best.append(max((p for _, p in found), default=None))

@@ -378,6 +378,34 @@ def test_licence_held_out_accuracy(spark, docs):
     assert right >= 0.9 * len(cases)
 
 
+def test_licences_wrapped_and_whole(spark, docs):
+    """Notices over several lines, whole headers and licences that are none of the families; none is in the training."""
+    classifier = licences.train(docs)
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the notice."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License below."""
+    told = [
+        ("Some words first\nThis work is licensed under the GNU General Public\nLicense, version 3.\nmore words", ["GPL-3.0"]),
+        (gpl, ["GPL-3.0"]),
+        (bsd, ["BSD-2-Clause"]),
+        (apache, ["Apache-2.0"]),
+        ("Released under the Zorbago license", ["unknown"]),
+        ("This work is licensed under the Felidra Public License, version 4.0", ["unknown"]),
+        ("\n".join(prose(12) for _ in range(40)), []),
+        ("the terms of the work are as follows and the public may use it\nunder the old bridge by the author", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(told)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(df, classifier).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(told)}
+
+
 # ------------------------------------------------------------------ mixing
 
 
