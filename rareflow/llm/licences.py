@@ -7,7 +7,8 @@ that is none of these) or none. It is trained on the notices below, varied at ra
 licences, and on a bounded sample of the corpus' own paragraphs as counter-examples, chosen by a hash (``OTHERS`` at
 most). A held-out part of all three calibrates the probabilities of all classes (one temperature) and sets the bar
 under which nothing is claimed: what no held-out counter-example exceeds, within ``BARS``. The prediction of a family
-is confirmed if the paragraph holds ``CONFIRM`` of the word pairs of a notice of that family; with ``RESEMBLE`` of
+is confirmed if the paragraph holds ``CONFIRM`` of the word pairs of a notice of that family (of a made-up one
+without its name, if it is unknown); with ``RESEMBLE`` of
 them its licence is unknown too, with fewer it is no notice.
 
 Documents are scored where they lie; nothing is shuffled.
@@ -119,6 +120,11 @@ def pairs(paragraph: str) -> set[str]:
     return set(map(" ".join, zip(words, words[1:], strict=False)))
 
 
+def stranger_pairs(notice: str) -> set[str]:
+    """The word pairs of a notice that hold nothing of its licence's name."""
+    return set().union(*(pairs(part) for part in notice.replace("{n}", "{}").split("{}")))
+
+
 def _variants() -> list[tuple[str, int]]:
     """Notices as they may stand in a text: other first words, something after them, a word lost."""
     rng = random.Random(SEED)
@@ -185,9 +191,10 @@ class Classifier:
         if probability < self.bar:
             return None
         family = CLASSES[best]
-        if family == UNKNOWN:
-            return UNKNOWN, probability
         own = pairs(paragraph)
+        if family == UNKNOWN:
+            likeness = max(len(own & wanted) / len(wanted) for wanted in map(stranger_pairs, STRANGERS))
+            return (UNKNOWN, probability) if likeness >= CONFIRM else None
         likeness = max(len(own & wanted) / len(wanted) for wanted in map(pairs, NOTICES[family]))
         if likeness < RESEMBLE:
             return None
