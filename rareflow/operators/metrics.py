@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LABEL
+from ..session import stage_table
 from .ordered import range_cuts, running_sums
 
 
@@ -33,8 +34,9 @@ def score_curve(
     Columns: keys…, threshold, pos, n, tp, fp, n_pos, n_neg.
     """
     scored = df.filter(F.col(score).isNotNull())
-    cuts = range_cuts(scored, score)
-    return curve_of_counts(score_counts(scored, score, label, keys), keys, cuts)
+    # The counts are written once, so that rows are scored once for the cuts and the curve together.
+    counts = stage_table(score_counts(scored, score, label, keys), "score-counts")
+    return curve_of_counts(counts, keys, range_cuts(counts, "score"))
 
 
 def curve_of_counts(
