@@ -74,15 +74,33 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29)) | np.uint64(1)
 
 
+def planes(numbers: np.ndarray, width: int) -> bytes:
+    """Little-endian integers byte place by byte place, so that places that are mostly zero compress well."""
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def of_planes(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Non-negative integers in as few bytes as the largest needs, compressed; the first byte is their width."""
     most = int(numbers.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return bytes([width]) + zlib.compress(numbers.astype(f"<u{width}").tobytes(), 1)
+    return bytes([width]) + zlib.compress(planes(numbers, width), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), dtype=f"<u{data[0]}").astype(np.int64)
+    return of_planes(zlib.decompress(data[1:]), data[0]).astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them; the shuffle's own compression takes the empty places out."""
+    return planes(np.diff(keys, prepend=np.uint64(0)), 8)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(of_planes(data, 8), dtype=np.uint64)
 
 
 class Piece:
@@ -240,7 +258,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
                     {
                         "bucket": bucket,
                         "piece": key[0].as_py(),
-                        "keys": piece.keys[a:b].tobytes(),
+                        "keys": packed_keys(piece.keys[a:b]),
                         "counts": packed(counts[:, a:b].ravel()) if trains else None,
                         "asked": packed(asked[a:b]) if asks and not trains else None,
                         "asks": asks,
@@ -255,7 +273,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         requests = requests.unionByName(wanted.groupBy("piece").applyInArrow(sent(False, True), _SENT))
 
     def answered(key: tuple, table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(k, dtype="<u8") for k in table.column("keys").to_pylist()]
+        own = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
         keys, at = np.unique(np.concatenate(own), return_inverse=True)
         ends = np.cumsum([len(k) for k in own])
         places = np.split(at, ends[:-1])
