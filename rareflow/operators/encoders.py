@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..schema import LABEL
 from ..session import stage_table
-from .lookup import BROADCAST_ROWS, attach
+from .lookup import BROADCAST_ROWS, attach, attach_long
 from .ordered import cut_index, exact_quantiles, keyed_form
 
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -163,7 +163,15 @@ class FittedTargetEncoder:
         table, sizes = self.applied(kind, build)
         # What all columns together may broadcast.
         room = BROADCAST_ROWS // max(1, len(self.columns))
+        large = [c for c in self.columns if sizes.get(c, 0) > room]
+        if len(large) > 1 and not df.isStreaming:
+            # One numbering, one join and one wide shuffle serve all large maps.
+            out = attach_long(out, table, {c: f"{c}_te" for c in large}, extra)
+        else:
+            large = []
         for c in self.columns:
+            if c in large:
+                continue
             mine = table.filter(F.col("feature") == c).select(
                 F.col("value").cast(df.schema[c].dataType).alias(c),
                 *extra,

@@ -129,16 +129,18 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def value_key(df: DataFrame, column: str) -> Column:
-    """A value as text that tells different values of its own type apart, -0.0 and 0.0 excepted."""
-    value = F.col(column)
-    if isinstance(df.schema[column].dataType, T.FractionalType) and not isinstance(
-        df.schema[column].dataType, T.DecimalType
-    ):
-        value = value + F.lit(0.0).cast(df.schema[column].dataType)
+def as_key(value: Column, kind: T.DataType) -> Column:
+    """A value of type ``kind`` as text that tells different values apart, -0.0 and 0.0 excepted."""
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        value = value + F.lit(0.0).cast(kind)
     return value.cast("string")
 
 
+def value_key(df: DataFrame, column: str) -> Column:
+    """``as_key`` of a column."""
+    return as_key(F.col(column), df.schema[column].dataType)
+
+
 def keyed_form(df: DataFrame, columns: list[str], carry: list[str] = ()) -> DataFrame:
     """(carry…, feature, value) with values as ``value_key``: nothing is merged by a common type."""
     cells = [F.struct(F.lit(c).alias("feature"), value_key(df, c).alias("value")) for c in columns]

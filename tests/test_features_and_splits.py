@@ -249,3 +249,34 @@ def test_reader_round_trip(spark, counts, tmp_path):
     other = spark.createDataFrame([(1, 2)], "x int, label_1 int")
     assert tables.feature_frame(other).columns == ["x", "label_1"]
     assert tables.features_and_label(other).columns == ["x", "label_1"]
+
+
+def test_large_target_maps_share_one_join(spark, monkeypatch):
+    """Maps above the broadcast room: same values as broadcast ones, one lookup join for all columns."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("row_id"),
+        *[
+            F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 17 == 0, None).otherwise(F.col("id") % (50 + i)).alias(f"c{i}")
+            for i in range(4)
+        ],
+        (F.col("id") % 40 / 8).alias("d"),
+        F.concat(F.lit("s"), F.col("id") % 90).alias("s"),
+        (F.col("id") % 13 == 0).cast("int").alias(LABEL),
+        (F.col("id") % 5).cast("int").alias("fold"),
+        F.lit("kept").alias("n"),
+    )
+    names = ["c0", "c1", "c2", "c3", "d", "s"]
+    fitted = encoders.CrossFitTargetEncoder().fit(rows, names)
+    told = lambda df: sorted(map(str, df.collect()))
+    small = told(fitted.transform(rows)), told(fitted.transform_train(rows))
+    unseen = rows.withColumn("c0", F.col("c0") + 1_000).withColumn("s", F.lit(None).cast("string"))
+    want = told(fitted.transform(unseen))
+    monkeypatch.setattr(encoders, "BROADCAST_ROWS", 12)
+    large = fitted.transform(rows)
+    assert told(large) == small[0]
+    assert told(fitted.transform_train(rows)) == small[1]
+    assert told(fitted.transform(unseen)) == want
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    lookups = [line for line in plan.splitlines() if "Join" in line and "_cell" in line and "broadcast" not in line]
+    assert len(lookups) == 1
+    assert fitted.transform(rows.limit(0)).count() == 0
