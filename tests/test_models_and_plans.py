@@ -144,6 +144,41 @@ def test_crowded_scores_are_pruned(spark):
     assert best.n_evaluated < 0.2 * len(scores)
 
 
+def _correlated_scores(spark, n_models, rows=20_000):
+    rng = np.random.default_rng(11)
+    y = rng.random(rows) < 0.02
+    shared = rng.normal(size=rows)
+    gains = np.linspace(3.0, 0.4, n_models)
+    scores = [1 / (1 + np.exp(4 - g * y - 0.8 * shared - 0.6 * rng.normal(size=rows))) for g in gains]
+    data = [(int(t), *[round(float(v), 3) for v in x]) for t, *x in zip(y, *scores)]
+    names = [f"p{i}" for i in range(n_models)]
+    return spark.createDataFrame(data, f"{LABEL} int, " + ", ".join(f"{n} double" for n in names)), names
+
+
+def test_cell_limits_hold_for_all_their_vectors(spark):
+    df, names = _correlated_scores(spark, 4, 2_000)
+    scores = {r["weight_id"]: r["ap"] for r in blend.weight_scores(df, names, n_grid=5).collect()}
+    points = dict(enumerate(list(blend.compositions(4, 4)), start=1))
+    cells = [(), *[(a,) for a in range(5)], *[(a, b) for a in range(5) for b in range(5 - a)]]
+    tuples = blend.score_tuples(df, names)
+    for bins in (1, 4, 64):
+        for r in blend.cell_bounds(tuples, names, dict(enumerate(cells)), 4, bins).collect():
+            cell = cells[r["weight_id"]]
+            inside = [scores[i] for i, units in points.items() if units[: len(cell)] == cell]
+            assert inside and max(inside) <= r["high"] + 1e-12
+
+
+def test_search_over_cells_equals_exhaustive_search(spark, monkeypatch):
+    """Many rounds: a small round makes cells of all depths be bounded, opened and left."""
+    df, names = _correlated_scores(spark, 4, 3_000)
+    scores = {r["weight_id"]: r["ap"] for r in blend.weight_scores(df, names).collect()}
+    winner = min(scores, key=lambda i: (-scores[i], i))
+    monkeypatch.setattr(blend, "ROUND", 40)
+    best = blend.optimize_weights(df, names)
+    assert best.weights == blend.weight_vectors(4)[winner]
+    assert best.pr_auc == pytest.approx(scores[winner], abs=1e-12)
+
+
 @pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
 def test_calibration_is_monotone(counts, method):
     fitted = calibration.fit_calibration(counts, "p_a", method)
