@@ -1,4 +1,4 @@
-"""A word lexicon as a minimal acyclic transducer in one memory-mapped file.
+"""A word lexicon as a minimal acyclic transducer in one string of bytes.
 
 Words are byte strings, outputs are places in an array of id sequences. Equal suffixes share their
 states (built from sorted words, one register of finished states). Each arc carries how many words
@@ -8,10 +8,7 @@ with the suffixes.
 
 from __future__ import annotations
 
-import hashlib
-import mmap
 import os
-import tempfile
 from collections.abc import Iterable
 
 import numpy as np
@@ -48,7 +45,7 @@ def _minimal(words: list[bytes]) -> tuple[list[tuple[bool, tuple[tuple[int, int]
 
 
 def compile_lexicon(entries: dict[bytes, np.ndarray]) -> bytes:
-    """The file's content for words with their ids."""
+    """The bytes of a lexicon for words with their ids."""
     words = sorted(entries)
     states, start = _minimal(words)
     behind = np.zeros(len(states), dtype=np.int64)
@@ -74,11 +71,10 @@ def compile_lexicon(entries: dict[bytes, np.ndarray]) -> bytes:
 
 
 class Lexicon:
-    """Look-ups in a compiled lexicon; the file is mapped, so processes of one host share it."""
+    """Look-ups in a compiled lexicon, straight in the broadcast bytes: no file is written anywhere."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    def __init__(self, content: bytes):
+        self.map = content
         n_states, n_arcs, n_words, n_ids, self.start = (int(x) for x in np.frombuffer(self.map, np.int32, 5))
         at = 20
 
@@ -97,14 +93,8 @@ class Lexicon:
 
     @classmethod
     def of(cls, content: bytes) -> Lexicon:
-        """The lexicon of a broadcast content, written once per host folder under its own hash."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(content).hexdigest()[:20]}")
-        if not os.path.exists(path):
-            handle, draft = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(handle, "wb") as file:
-                file.write(content)
-            os.replace(draft, path)
-        return cls(path)
+        """The lexicon of a broadcast content."""
+        return cls(content)
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit numbers, or None."""

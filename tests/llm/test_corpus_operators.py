@@ -618,6 +618,14 @@ def test_lexicon_is_minimal_and_exact():
     assert Lexicon.of(compile_lexicon({})).get(b"x") is None
 
 
+def test_lexicon_leaves_no_file(tmp_path, monkeypatch):
+    import tempfile
+
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    assert Lexicon.of(compile_lexicon({b"do": np.array([7], np.uint32)})).get(b"do") == np.array([7], "<u4").tobytes()
+    assert not list(tmp_path.iterdir())
+
+
 def test_encoding_is_the_librarys(spark, docs):
     from tokenizers import Tokenizer
 
