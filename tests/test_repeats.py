@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
-from rareflow.operators import boosting, learners, repeats
+from rareflow.operators import boosting, encoders, latent, learners, nets, repeats
 from rareflow.schema import LABEL
 from rareflow.session import stage_table
 
@@ -82,3 +83,44 @@ def test_centres_of_counts(spark, many):
         learners.two_means(stage_table(repeats.packed(flat)), ["_z0", "_z1"], 4, 1, count="_n"),
     ]
     assert all(math.isclose(x, y, abs_tol=1e-9) for p, q in zip(*told, strict=True) for x, y in zip(p, q, strict=True))
+
+
+def test_net_on_counts_is_the_perceptron_on_rows(spark):
+    """Two and three copies of rows, in one count each: the weights of Spark's perceptron on all copies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(128, 2))
+    y = (x[:, 0] + x[:, 1] ** 2 > 1).astype(float)
+    rows = [(*map(float, r), float(t), 2 + int(t)) for r, t in zip(x, y, strict=True)]
+    table = stage_table(spark.createDataFrame(rows, "a double, b double, y double, n long"))
+    copies = table.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    vectors = stage_table(latent.assemble(copies, ["a", "b"]).select("features", "y")).coalesce(1)
+    layers = [2, 4, 3, 2]
+    # One block, so that the mean of the blocks is that of the rows.
+    spark_net = MultilayerPerceptronClassifier(layers=layers, labelCol="y", maxIter=12, seed=7, blockSize=1024).fit(vectors)
+    start = nets.perceptron(spark, layers, 7).weights.toArray()
+    got = nets.minimise(nets.gradient(table, ["a", "b"], layers, "n"), start, 12)
+    assert got == pytest.approx(spark_net.weights.toArray(), abs=1e-8)
+    again = nets.perceptron(spark, layers, 7, got.tolist()).weights.toArray()
+    assert (again == got).all()
+
+
+def test_net_trains_on_distinct_rows(many):
+    scaler, _, table = latent.net_table(many, ["a", "b"], LABEL, 42)
+    assert table.count() == many.distinct().count() < many.count() / 4
+    own = encoders.Standardizer().fit(many, ["a", "b"])
+    for c in ("a", "b"):
+        assert scaler.moments[c] == pytest.approx(own.moments[c])
+    net = latent.SlicedNet(table, [2, 3, 2, 2], 2, 42)
+    pos, n = net.rows.agg(F.sum(F.col("y") * F.col("times")), F.sum("times")).first()
+    assert pos / n == pytest.approx(0.5, abs=0.17)
+    net.advance()
+    scored = net.scored().agg(F.sum("pos"), F.sum("n")).first()
+    assert tuple(scored) == (many.filter(F.col(LABEL) == 1).count(), many.count())
+
+
+def test_moments_of_counted_rows(spark, many):
+    counted = repeats.packed(many.withColumn("c", F.lit(0.1)))
+    n, means, products = repeats.moments(counted, ["a", "b", "c"], products=True)
+    x = many.select("a", "b").toPandas().to_numpy(dtype=float)
+    assert n == len(x) and means[:2] == pytest.approx(x.mean(axis=0)) and means[2] == 0.1 and (products[2] == 0).all()
+    assert products[:2, :2] == pytest.approx(np.cov(x.T, bias=True) * len(x))
