@@ -8,6 +8,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from rareflow.operators import boosting, encoders, latent, learners, nets, repeats
+from rareflow.plans import recipes
 from rareflow.schema import LABEL
 from rareflow.session import stage_table
 
@@ -124,3 +125,52 @@ def test_moments_of_counted_rows(spark, many):
     x = many.select("a", "b").toPandas().to_numpy(dtype=float)
     assert n == len(x) and means[:2] == pytest.approx(x.mean(axis=0)) and means[2] == 0.1 and (products[2] == 0).all()
     assert products[:2, :2] == pytest.approx(np.cov(x.T, bias=True) * len(x))
+
+
+def test_dense_net_is_the_perceptron_on_balanced_copies(many):
+    """Positives repeated to the size of the negatives and all in one block: the same probabilities as of the learner."""
+    settings = {"hidden1": 4, "hidden2": 3, "hidden3": 2, "max_iter": 8}
+    scorer = learners.LEARNERS["tensorflow_dnn"].fit(many, ["a", "b"], LABEL, 42, **settings)
+    scaled = encoders.Standardizer().fit(many, ["a", "b"]).transform(many)
+    pos, n = many.agg(F.sum(LABEL), F.count(F.lit(1))).first()
+    times = F.when(F.col(LABEL) == 1, F.lit(max(1, round((n - pos) / pos)))).otherwise(F.lit(1))
+    rows = latent.assemble(scaled.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))), ["a", "b"], "_x")
+    rows = stage_table(rows.select("_x", F.col(LABEL).cast("double").alias("_y"))).coalesce(1)
+    own = MultilayerPerceptronClassifier(
+        featuresCol="_x", labelCol="_y", layers=[2, 4, 3, 2, 2], maxIter=8, seed=42, blockSize=1 << 16
+    ).fit(rows)
+    assert scorer.model.weights.toArray() == pytest.approx(own.weights.toArray(), abs=1e-7)
+
+
+def test_smoothing_and_denoiser_on_counts(many):
+    """Fitted on distinct rows with counts: the bounds, references and axes of all rows."""
+    wide = many.select("a", "b", (F.col("a") * F.col("b")).alias("c"))
+    names, distinct = ["a", "b", "c"], stage_table(repeats.packed(wide))
+    one, other = (encoders.FeatureSmoothing(n_quantiles=50).fit(d, names) for d in (wide, distinct))
+    assert one.bounds == other.bounds and one.references == other.references
+    one, other = (latent.LinearDenoiser(rank=2).fit(d, names) for d in (wide, distinct))
+    assert one.gains == pytest.approx(other.gains)
+    a, b = (f.transform(wide).agg(*[F.avg(c) for c in f.output_columns()], *[F.stddev(c) for c in f.output_columns()]).first() for f in (one, other))
+    assert list(a) == pytest.approx(list(b))
+
+
+@pytest.mark.parametrize("name", ["smoothing", "denoiser", "embedding"])
+def test_recipe_fits_last_step_on_distinct_rows(many, monkeypatch, name):
+    mode = {"smoothing": "engineered_smooth", "denoiser": "engineered_denoise", "embedding": "engineered_nnembed"}[name]
+    rows = many.select(F.col("a").alias("num_links"), F.col("b").alias("num_words"), LABEL)
+    seen = {}
+    fit_step = recipes.FeatureRecipe._fit_step
+
+    class Seen(Exception):
+        pass
+
+    def spy(self, step, df, columns):
+        if step == name:
+            seen["n"], seen["all"] = df.count(), df.agg(F.sum(repeats.COUNT)).first()[0]
+            raise Seen
+        return fit_step(self, step, df, columns)
+
+    monkeypatch.setattr(recipes.FeatureRecipe, "_fit_step", spy)
+    with pytest.raises(Seen):
+        recipes.FeatureRecipe(mode).fit(rows, ["num_links", "num_words"])
+    assert seen["all"] == rows.count() and seen["n"] < rows.count() / 4
