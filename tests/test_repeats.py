@@ -8,7 +8,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from rareflow.operators import boosting, encoders, latent, learners, nets, repeats
-from rareflow.plans import recipes
+from rareflow.plans import experiment, recipes
 from rareflow.schema import LABEL
 from rareflow.session import stage_table
 
@@ -174,3 +174,11 @@ def test_recipe_fits_last_step_on_distinct_rows(many, monkeypatch, name):
     with pytest.raises(Seen):
         recipes.FeatureRecipe(mode).fit(rows, ["num_links", "num_words"])
     assert seen["all"] == rows.count() and seen["n"] < rows.count() / 4
+
+
+def test_study_engineers_once_for_all_widths(split, monkeypatch):
+    fits, fit = [], experiment.FeatureEngineer.fit
+    monkeypatch.setattr(experiment.FeatureEngineer, "fit", lambda self, train: fits.append(1) or fit(self, train))
+    small = {"max_iter": 1, "hidden1": 3, "hidden2": 2, "holdout": 0.0}
+    assert experiment.embedding_study(split, [], [2, 3], embedding=small).count() == 0
+    assert len(fits) == 1
