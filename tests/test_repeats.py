@@ -8,8 +8,10 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from rareflow.operators import boosting, encoders, latent, learners, nets, repeats
-from rareflow.plans import experiment, recipes
-from rareflow.schema import LABEL
+from rareflow.operators.features import FeatureEngineer
+from rareflow.operators.splits import assign_folds, holdout_split
+from rareflow.plans import experiment, recipes, search
+from rareflow.schema import LABEL, ROW_ID
 from rareflow.session import stage_table
 
 
@@ -182,3 +184,71 @@ def test_study_engineers_once_for_all_widths(split, monkeypatch):
     small = {"max_iter": 1, "hidden1": 3, "hidden2": 2, "holdout": 0.0}
     assert experiment.embedding_study(split, [], [2, 3], embedding=small).count() == 0
     assert len(fits) == 1
+
+
+@pytest.fixture(scope="module")
+def copied(spark):
+    """120 rows of three counts, 40 copies of each, with an id and a label of their own."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for links, words, emails in rng.integers(0, [6, 90, 4], (120, 3)).tolist():
+        rows += [(len(rows) + i, links, words, emails, int(rng.random() < 0.1 + 0.12 * links)) for i in range(40)]
+    return stage_table(spark.createDataFrame(rows, f"{ROW_ID} long, num_links long, num_words long, num_email_addresses long, {LABEL} int"))
+
+
+INPUTS = ["num_links", "num_words", "num_email_addresses"]
+
+
+def test_engineer_fits_counted_rows(copied):
+    rows = copied.select(*INPUTS)
+    for df in (rows, rows.withColumn("num_email_addresses", F.lit(2)), rows.limit(1), rows.limit(0)):
+        df = stage_table(df)
+        one, other = FeatureEngineer().fit(df), FeatureEngineer().fit(stage_table(repeats.packed(df)))
+        assert other.cutoffs == one.cutoffs and other.moments == pytest.approx(one.moments)
+
+
+@pytest.mark.parametrize("mode", ["ix_raw", "engineered", "engineered_smooth"])
+def test_folds_stage_distinct_rows(copied, monkeypatch, mode):
+    """One row per distinct row and fitted features, however often it comes; the same scores as of all rows."""
+    recipe, learner = recipes.FeatureRecipe(mode), learners.LEARNERS["logreg"]
+    folds = search.stage_folds(copied, INPUTS, recipe, 3)
+    distinct = copied.select(LABEL, *INPUTS).distinct().count()
+    assert folds.rows.count() == distinct * (1 if mode == "ix_raw" else 3) < copied.count()
+    sizes = dict(map(tuple, assign_folds(copied, 3).groupBy("fold").count().collect()))
+    for k in range(3):
+        held, trained = folds.part(k, True), folds.part(k, False)
+        n, m = (d.agg(F.sum(repeats.COUNT)).first()[0] for d in (held, trained))
+        assert n == sizes[k] and n + m == copied.count()
+    scores = []
+    for counts in (True, False):
+        monkeypatch.setattr(recipes.FeatureRecipe, "takes_counts", lambda self: counts)  # noqa: B023
+        # Few steps, so that rounding does not decide where the optimiser stops.
+        got = search.cross_validate(copied, INPUTS, learner, recipe, [{"C": 0.1, "max_iter": 5}], 3).collect()
+        scores.append({(r.candidate, r.fold): r.score for r in got})
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["adaboost", "cluster"])
+def test_other_learners_get_all_rows(copied, monkeypatch, name):
+    learner, seen = learners.LEARNERS[name], []
+    monkeypatch.setattr(learner, "fit_rows", lambda rows, columns, *rest: seen.append(rows) or rows.columns)
+    folds = search.stage_folds(copied, INPUTS, recipes.FeatureRecipe("raw"), 3)
+    assert learner.fit(folds.part(0, False), folds.columns) == [LABEL, *INPUTS]
+    assert seen[0].count() == assign_folds(copied, 3).filter("fold != 0").count()
+
+
+def test_model_fits_distinct_rows(copied, monkeypatch):
+    """The engineered features of the final fit, too, are those of distinct rows, and every held-out row has its score."""
+    data = stage_table(holdout_split(copied, 0.25, 1 / 3))
+    fits, fit = [], FeatureEngineer.fit
+    monkeypatch.setattr(FeatureEngineer, "fit", lambda self, rows: fits.append(rows.count()) or fit(self, rows))
+    config = experiment.ExperimentConfig(mode="engineered", n_folds=3, candidates={"logreg": [{"C": 1.0, "max_iter": 5}]})
+    result = experiment.run_model(data, "logreg", config)
+    distinct = copied.select(LABEL, *INPUTS).distinct().count()
+    assert len(fits) == 4 and max(fits) <= distinct < copied.count() / 4
+    assert result.scores.count() == data.filter("split != 'train'").count()
+    monkeypatch.setattr(recipes.FeatureRecipe, "takes_counts", lambda self: False)
+    plain = experiment.run_model(data, "logreg", config)
+    both = result.scores.join(plain.scores.withColumnRenamed("p", "q"), ROW_ID)
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+    assert result.cv_pr_auc == pytest.approx(plain.cv_pr_auc, abs=1e-9)
