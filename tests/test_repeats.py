@@ -1,6 +1,7 @@
 """Learners on distinct rows with counts: the same as on all rows."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -186,6 +187,34 @@ def test_study_engineers_once_for_all_widths(split, monkeypatch):
     assert len(fits) == 1
 
 
+@pytest.mark.parametrize("logged", [False, True])
+def test_study_measures_conditions_at_once(split, monkeypatch, tmp_path, logged):
+    """Both widths wait for each other, but not where they append to one log."""
+    gate, met, many = threading.Barrier(2), [], {"pr_auc": 0.5, "recall": 0.1, "precision": 0.2, "f1": 0.3, "mcc": 0.4}
+
+    def run(frame, name, config):
+        try:
+            gate.wait(20 if not logged else 0.1)
+            met.append(name)
+        except threading.BrokenBarrierError:
+            gate.reset()
+        return experiment.ModelResult(name, {}, None, 0.5, many, many, frame)
+
+    monkeypatch.setattr(experiment, "run_model", run)
+    monkeypatch.setattr(experiment, "embed_split", lambda data, *a, **k: data)
+    config = experiment.ExperimentConfig(log_dir=str(tmp_path) if logged else None)
+    rows = experiment.embedding_study(split, ["logreg"], [2, 3, 2], config, with_baseline=False).collect()
+    assert sorted((r.condition, r.dim, r.model) for r in rows) == [("with_embedding", d, "logreg") for d in (2, 2, 3)]
+    assert len(met) == (0 if logged else 2)
+
+
+def test_small_linear_fit_is_one_task(many, monkeypatch):
+    parts, fit = [], learners.LogisticRegression.fit
+    monkeypatch.setattr(learners.LogisticRegression, "fit", lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    learners.fit_logistic(many.repartition(6).withColumn(repeats.COUNT, F.lit(1).cast("long")), ["a", "b"], LABEL, {"C": 1.0}, 1)
+    assert parts == [1]
+
+
 @pytest.fixture(scope="module")
 def copied(spark):
     """120 rows of three counts, 40 copies of each, with an id and a label of their own."""
